@@ -207,7 +207,8 @@ def pack(sizes: DataFrame, capacities: dict[int, int], key: str = "doc_id", size
     if any(c is None or c < 1 for c in capacities.values()):
         raise ValueError("a capacity must be at least 1")
     spark = sizes.sparkSession
-    clean = sizes.select(F.col(key), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("int").alias(size))
+    # cut here, else finding the bounds of the ranges would size every item a second time
+    clean = cut(sizes.select(F.col(key), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("int").alias(size)))
     # items in order of size, so that a partition holds few lengths and ranks come from counts of partitions
     ordered = cut(clean.repartitionByRange(parallelism(spark), size, key).select(F.spark_partition_id().alias("part"), key, size))
     counted = ordered.groupBy("part", size).agg(F.count(F.lit(1)).alias("n")).orderBy("part", size).collect()
