@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.llm import packing, tokens
+from graphweave.llm import neighbours, packing, tokens
 from graphweave.sources.tables import table
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return neighbours.nearest_pairs(table(spark, root, "node_embeddings").where("model = 'code-mini-384'"), k=5)
+
+
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode(table(spark, root, "documents"))
 
@@ -17,7 +21,7 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p6_ids": p6_ids, "p7_containers": p7_containers}
+    return {"p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 
 def oracle_sql() -> dict[str, str]:
