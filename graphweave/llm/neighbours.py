@@ -29,10 +29,10 @@ from graphweave.session import cut
 SAMPLE_ROWS = 20_000
 #: Trees, and leaves a search takes from the shared queue besides the own leaf of each tree: on average and at most.
 TREES = 2
-EXTRA_LEAVES = 0.75
+EXTRA_LEAVES = 0.25
 MOST_EXTRA = 3
 #: Vectors a leaf holds, about.
-LEAF_ROWS = 3_000
+LEAF_ROWS = 6_000
 #: Times a random direction is multiplied by the local covariance, which turns it to where the vectors spread most.
 SHARPEN = 2
 #: Nodes with changed vectors that may be broadcast; more are joined by a shuffle.
@@ -216,7 +216,7 @@ def _search(member: np.ndarray, member_h: np.ndarray, query: np.ndarray, query_h
 
 
 def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec", newest: str | None = "updated_at", dim: int = 384, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, extra: float = EXTRA_LEAVES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(owner, members, near): node -> direction, direction -> first members and their number, direction -> nearest other directions.
+    """(owner, members, near): node -> direction, direction -> first members and their number, direction -> nearest other directions (d: cosine negated).
 
     Rows whose vector is null, of another length, all zero or not finite are left out; of a node's
     rows the newest usable one counts. Extra columns are not read.
@@ -280,14 +280,19 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
         own = own[first]
         x = _unpacked(table.column("v").combine_chunks().take(pa.array(first)), dim)
         found = _search(x[own], h[own], x, h, k) if own.any() else []
-        near = pa.array([[{"c": c, "h": o} for c, o in of] for _, of in found], pa.list_(pa.struct([("c", pa.float64()), ("h", pa.int64())])))
-        return pa.table([pa.array([q for q, _ in found], pa.int64()), near], names=["h", "near"])
-
+        columns = [pa.array([q for q, _ in found], pa.int64())]
+        for j in range(k):
+            columns.append(pa.array([of[j][0] if j < len(of) else None for _, of in found], pa.float64()))
+            columns.append(pa.array([of[j][1] if j < len(of) else None for _, of in found], pa.int64()))
+        return pa.table(columns, names=["h", *flat])
+
+    # flat columns: a row of numbers takes half the bytes of a list of structs in the shuffle
+    flat = [f"{c}{j}" for j in range(k) for c in "ch"]
     leaves = source.select("v").mapInArrow(route, "leaf int, own boolean, h long, v binary")
-    lists = leaves.groupBy("leaf").applyInArrow(search, "h long, near array<struct<c: double, h: long>>")
-    near = lists.groupBy("h").agg(F.flatten(F.collect_list("near")).alias("near"))
-    best = F.slice(F.array_sort(F.transform(F.array_distinct("near"), lambda s: F.struct((-s["c"]).alias("d"), s["h"].alias("h")))), 1, k)
-    return owner.select("n", "h"), members, near.select("h", best.alias("near"))
+    lists = leaves.groupBy("leaf").applyInArrow(search, "h long, " + ", ".join(f"{c} {'double' if c[0] == 'c' else 'long'}" for c in flat))
+    one = F.filter(F.array(*[F.struct((-F.col(f"c{j}")).alias("d"), F.col(f"h{j}").alias("h")) for j in range(k)]), lambda s: s["h"].isNotNull())
+    near = lists.repartition("h").groupBy("h").agg(F.flatten(F.collect_list(one)).alias("near"))
+    return owner.select("n", "h"), members, near.select("h", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
 
 
 def _members(owner: DataFrame, k: int) -> DataFrame:
@@ -308,10 +313,10 @@ def nearest_pairs(df: DataFrame, k: int = 5, **how) -> DataFrame:
     shared = members.where("many > 1").select("h", "ids")
     inside = owner.join(shared, "h").select("n", F.explode(F.slice(F.array_except("ids", F.array("n")), 1, k)).alias("o")).select(*pair("n", "o"))
     # a class of up to k members has places left for the nodes of the nearest other directions
-    open_ = members.where(F.col("many") <= k)
-    wanted = near.join(open_, "h").select("h", "ids", (F.lit(k + 1) - F.col("many")).alias("room"), F.explode("near").alias("s"))
-    other = members.select(F.col("h").alias("oh"), F.col("ids").alias("others"))
-    spread = wanted.select("h", "ids", "room", F.col("s.d").alias("d"), F.col("s.h").alias("oh")).join(other, "oh").select("h", "ids", "room", "d", F.explode(F.slice("others", 1, k)).alias("o"))
-    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("d", "o"))).where("r <= room")
-    outside = ranked.select(F.explode("ids").alias("n"), "o").select(*pair("n", "o"))
+    other = members.select(F.col("h").alias("oh"), F.slice("ids", 1, k).alias("others"))
+    wanted = near.select("h", F.explode("near").alias("s")).select("h", F.col("s.d").alias("d"), F.col("s.h").alias("oh"))
+    spread = wanted.join(other, "oh").select("h", "d", F.explode("others").alias("o"))
+    open_ = members.where(F.col("many") <= k).select("h", "ids", (F.lit(k + 1) - F.col("many")).alias("room"))
+    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("d", "o"))).where(F.col("r") <= k)
+    outside = ranked.join(open_, "h").where("r <= room").select(F.explode("ids").alias("n"), "o").select(*pair("n", "o"))
     return inside.unionByName(outside).distinct()
