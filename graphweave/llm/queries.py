@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.llm import neighbours, packing, tokens
+from graphweave.llm import neighbours, packing, tokens, validity
 from graphweave.sources.tables import table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    return validity.invalid_files(table(spark, root, "source_files"))
+
+
+def p1_files(spark: SparkSession, root: str) -> DataFrame:
+    return validity.check_files(table(spark, root, "source_files"))
+
+
+def p1_rates(spark: SparkSession, root: str) -> DataFrame:
+    return validity.rates(p1_files(spark, root), table(spark, root, "parse_results"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, root, "node_embeddings").where("model = 'code-mini-384'"), k=5)
 
@@ -21,7 +33,7 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+    return {"p1_found": p1_found, "p1_files": p1_files, "p1_rates": p1_rates, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 
 def oracle_sql() -> dict[str, str]:
