@@ -116,7 +116,7 @@ def check_files(files: DataFrame, path: str = "file_path", content: str = "conte
         "language",
         "readable",
         F.col("v.valid").alias("valid"),
-        F.col("v.errors")[0]["why"].alias("first_cause"),
+        F.get("v.errors", F.lit(0))["why"].alias("first_cause"),
         F.coalesce(F.size("v.errors"), F.lit(0)).alias("n_errors"),
         F.col("v.errors").alias("errors"),
     )
