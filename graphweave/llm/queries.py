@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.llm import neighbours, packing, tokens, validity
+from graphweave.llm import doc_pairs, neighbours, packing, tokens, validity
 from graphweave.sources.tables import table
 
 
@@ -20,6 +20,14 @@ def p1_rates(spark: SparkSession, root: str) -> DataFrame:
     return validity.rates(p1_files(spark, root), table(spark, root, "parse_results"))
 
 
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return doc_pairs.documented(table(spark, root, "nodes"), table(spark, root, "source_files"))
+
+
+def p4_pairs(spark: SparkSession, root: str) -> DataFrame:
+    return doc_pairs.pairs(table(spark, root, "nodes"), table(spark, root, "source_files"))
+
+
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
     return neighbours.nearest_pairs(table(spark, root, "node_embeddings").where("model = 'code-mini-384'"), k=5)
 
@@ -33,7 +41,7 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_files": p1_files, "p1_rates": p1_rates, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+    return {"p1_found": p1_found, "p1_files": p1_files, "p1_rates": p1_rates, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 
 
 def oracle_sql() -> dict[str, str]:
