@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.llm import doc_pairs, neighbours, packing, tokens, validity
+from graphweave.llm import doc_pairs, neighbours, packing, readability, tokens, validity
 from graphweave.sources.tables import table
 
 
@@ -40,8 +40,16 @@ def p7_containers(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents"), table(spark, root, "token_budgets"))
 
 
+def p8_levels(spark: SparkSession, root: str) -> DataFrame:
+    return readability.levels(table(spark, root, "documents"), table(spark, root, "reading_samples"))
+
+
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    return p8_levels(spark, root).where("reading_level >= 4").select("doc_id")
+
+
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_files": p1_files, "p1_rates": p1_rates, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+    return {"p1_found": p1_found, "p1_files": p1_files, "p1_rates": p1_rates, "p4_found": p4_found, "p4_pairs": p4_pairs, "p5_found": p5_found, "p6_ids": p6_ids, "p7_containers": p7_containers, "p8_found": p8_found, "p8_levels": p8_levels}
 
 
 def oracle_sql() -> dict[str, str]:

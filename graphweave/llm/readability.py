@@ -3,17 +3,19 @@
 Prose is what is left without code, logs, tables, headings and identifiers. Each sentence gets
 features of lexical diversity, word rarity, connectives, clause depth and length; a proportional-odds
 model over them gives its level. As graded texts mix sentences of neighbouring levels, the model is
-refitted on its own sentence levels, held within one level of the text's. The level of a text is
-the one that most of its words belong to.
+refitted on its own sentence levels, held within one level of the text's. The level of a text comes
+from the centre of its words' levels, with bounds calibrated on the graded texts.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 5
+FEATURES = 14
 #: Graded texts the model is fitted on, at most; the graded table is a fixed one.
 MOST_SAMPLES = 5_000
 #: Strength of the penalty, and rounds of refitting on the model's own sentence levels.
@@ -36,26 +39,29 @@ CONNECTIVES = {
     "es": ("y pero o luego si ahora porque cuando".split(), "antes aunque como para que donde mientras".split(), "cuanto conquiera salvo sino empero toda cuyo cuya merced medida virtud asimismo mediante torna dimana si bien conque".split()),
 }
 LANGUAGES = tuple(CONNECTIVES)
+_BITS = 24
+_FIELD = (1 << _BITS) - 1
 
-_FENCE = re.compile(r"^\s*(?:>\s*)*(?:```|~~~)")
+_FENCED = re.compile(r"(?:```|~~~)[\s\S]*?(?:```|~~~|\Z)")
+_ROW = re.compile(r"\|[^|\n]*\|(?:[^|\n]*\|)+")
+_LOG = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d\S*(?:\s+\[?(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL|CRITICAL|NOTICE)\]?:?)?(?:\s+[\w.$/-]+:)?(?:\s+\w+)?(?:\s+[\w.]+=\S+)+")
 _SKIP_LINE = re.compile(
-    r"""(?x)^\s*(?:>\s*)*(?:
-      \#{1,6}\s | \| | \+[-=+]{3,} | [-=_*~|:+\s]+$
+    r"""(?x)\s*(?:>\s*)*(?:
+      \| | \+[-=+]{3,} | [-=_*~|:+\s]+$
       | \[?\d{4}-\d\d-\d\d[T\s]\d\d:\d\d | \[?\d\d:\d\d:\d\d\b | \[?(?:DEBUG|INFO|WARN|WARNING|ERROR|TRACE|FATAL|CRITICAL)\b[\]:\s]
       | (?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+\d+\s+\d\d:\d\d:\d\d
       | Traceback\b | File\s"[^"]*",\sline | at\s+[\w.$<>]+\( | diff\s--git | @@\s | [<>=|]{7}
+      | (?:async\s+)?def\s+\w+\s*\( | class\s+\w+[^.]*[:{]\s*$ | (?:export\s+)?(?:default\s+)?(?:async\s+)?function\b[^.]*\( | (?:export\s+)?(?:const|let|var)\s+[\w{\[].*=
+      | import\s+[\w{*].*(?:from\b|;|$) | from\s+[.\w]+\s+import\b | (?:if|for|while|switch|catch)\s*\( | @\w+ | [{}()\[\];,\s]+$ | \} | //\s | /\* | \*/ | \#! | \$\s | >>>\s | "[\w-]+"\s*:
     )"""
 )
-_CODE_LINE = re.compile(
-    r"""(?x)^\s*(?:
-      (?:async\s+)?def\s+\w+\s*\( | class\s+\w+.*[:{]\s*$ | (?:export\s+)?(?:default\s+)?(?:async\s+)?function\b.*\( | (?:export\s+)?(?:const|let|var)\s+[\w{\[].*=
-      | import\s+[\w{*].*(?:from\b|;|$) | from\s+[.\w]+\s+import\b | return\b.*;\s*$ | (?:if|for|while|switch|catch)\s*\(.*[{;)]\s*$
-      | @\w+(?:\(.*\))?\s*$ | [{}()\[\];,\s]+$ | \} | //\s | /\*  | \*/ | \#! | \$\s | >>>\s | </?\w+[^>]*>\s*$ | .*[{;]\s*$ | \w[\w.]*\s*=\s*\S.*$ | \w[\w.]*\(.*\)\s*;?\s*$ | "[\w-]+"\s*:
-    )"""
-)
+_CODE_TAIL = re.compile(r"[{;]\s*$|^\s*\w[\w.]*\s*=\s*\S|^\s*\w[\w.]*\([^)]*\)\s*;?\s*$|^\s*</?\w+[^>]*>\s*$")
+_HEADING = re.compile(r"\s*(?:>\s*)*#{1,6}\s+(?:\d+(?:\.\d+)+\s*|\[[^\]]*\]\s*)?")
 _MARKER = re.compile(r"^\s*(?:>\s*)*(?:(?:[-*+•]|\d{1,3}[.)]|\[[ xX]\])\s+)*(?:>\s*)*")
 _BULLET = re.compile(r"^\s*(?:>\s*)*(?:[-*+•]|\d{1,3}[.)])\s")
-_NOISE = re.compile(r"``[^`]*``|`[^`]*`|https?://\S+|www\.\S+|<[^<>\n]{1,200}>|\{@[^}]*\}|[\w.+-]+@[\w-]+\.\w+|\b\w*(?:_\w+|[a-z0-9][A-Z])\w*(?:\(\))?|\b\w+\(\)|(?:\.{0,2}/)?(?:[\w.-]+/){1,}[\w.-]+|\b[0-9a-f]{7,}\b")
+_TICKS = re.compile(r"`[^`]*`")
+_NOISY = re.compile(r"[_(/<@{`]|[a-z][A-Z]|\d[a-f]|[a-f]\d")
+_NOISE = re.compile(r"https?://\S+|www\.\S+|</?\w[^<>\n]{0,200}>|\{@[^}]*\}|[\w.+-]+@[\w-]+\.\w+|(?:[\w.-]+/)+[\w.-]+|\b(?=\w*(?:_|[a-z0-9][A-Z]))\w+(?:\(\))?|\w+\(\)|\b[0-9a-f]{7,}\b|`")
 _END = re.compile(r"(?<=[.!?…])[\"')\]»“”’]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
@@ -64,88 +70,123 @@ _PAUSE = re.compile(r"[,;:()–—]")
 
 
 def prose(text: str) -> list[str]:
-    """The cleaned sentences of a text's prose: no code, logs, tables or headings, identifiers blanked."""
+    """The cleaned sentences of a text's prose: no code, logs, tables or headings, identifiers blanked.
+
+    Marked-up parts are found within a line as well, since white space may have been lost. What
+    follows a heading on its own line is prose if it has a sentence's end.
+    """
+    if "```" in text or "~~~" in text:
+        text = _FENCED.sub("\n\n", text)
+    if "|" in text:
+        text = _ROW.sub("\n\n", text)
+    if "=" in text:
+        text = _LOG.sub("\n\n", text)
     out: list[str] = []
     pending: list[str] = []
-    fenced = False
     for line in text.splitlines():
-        if _FENCE.match(line):
-            fenced = not fenced
-            stop = True
-        elif fenced:
-            continue
-        else:
-            stop = not line.strip() or _SKIP_LINE.match(line) is not None or _CODE_LINE.match(line) is not None
+        bare = line.strip()
+        stop = not bare
+        if not stop and bare[0] == "#":
+            bare = _HEADING.sub("", line, count=1).strip()
+            stop = len(bare) < 40 and not bare.endswith((".", "!", "?"))
+        elif not stop:
+            stop = _SKIP_LINE.match(line) is not None or (bare[-1] not in ".!?" and _CODE_TAIL.search(line) is not None)
         if pending and (stop or _BULLET.match(line)):
             out += _END.split(" ".join(pending))
             pending = []
         if not stop:
-            pending.append(_MARKER.sub("", line, count=1))
+            pending.append(_MARKER.sub("", bare, count=1))
     if pending:
         out += _END.split(" ".join(pending))
-    return [s for s in (_NOISE.sub(" ", x).strip() for x in out) if s]
+    clean = []
+    for x in out:
+        if "`" in x:
+            x = _TICKS.sub(" ", x)
+        if _NOISY.search(x):
+            x = _NOISE.sub(" ", x)
+        x = x.strip()
+        if x:
+            clean.append(x)
+    return clean
+
+
+Info = tuple[float, int, int, int, int, int]  # difficulty, length, long, plain, deep or formal, formal
 
 
 @dataclass
 class Model:
     """Lexicons and weights; plain values only, so that it is small and can be sent to workers."""
 
-    difficulty: dict[str, dict[str, float]] = field(default_factory=dict)  # language -> word -> mean level, shrunk
-    middle: dict[str, float] = field(default_factory=dict)
-    weights: dict[str, np.ndarray] = field(default_factory=dict)
-    cuts: dict[str, np.ndarray] = field(default_factory=dict)
-    mean: dict[str, np.ndarray] = field(default_factory=dict)
-    scale: dict[str, np.ndarray] = field(default_factory=dict)
+    words: dict[str, dict[str, Info]] = field(default_factory=dict)
+    marks: dict[str, int] = field(default_factory=dict)  # word -> a one in the field of each language that has it
+    unknown: dict[str, tuple[float, float]] = field(default_factory=dict)  # difficulty of other words by length: base, slope
+    weights: dict[str, list[float]] = field(default_factory=dict)  # for raw features; the last is the constant
+    cuts: dict[str, list[float]] = field(default_factory=dict)
+    bounds: dict[str, list[float]] = field(default_factory=dict)  # between the centres of whole texts
 
-    def language(self, words: list[str]) -> str | None:
-        """The language whose graded words most of the words are; None if that is under a third of them."""
+    def sentence(self, sentence: str) -> tuple[str | None, float, int, int]:
+        """(language, score, words, words of other languages) of a cleaned sentence."""
+        words = _WORD.findall(sentence.lower())
+        n = len(words)
+        if not n:
+            return None, 0.0, 0, 0
+        if not sentence.isascii():
+            other = len(_OTHER.findall(sentence))
+            if other * 3 > len(sentence):
+                return None, 0.0, 0, max(1, other // 2) if _WIDE.search(sentence) else n
+        hits = sum(map(self.marks.get, words, repeat(0)))
         best, most = None, 0
-        for lang, lexicon in self.difficulty.items():
-            n = sum(w in lexicon for w in words)
-            if n > most:
-                best, most = lang, n
-        return best if most * 3 >= len(words) else None
-
-    def level(self, sentence: str) -> tuple[int, int, int]:
-        """(level or 0, words, words of other languages) of a cleaned sentence."""
-        words = [w.lower() for w in _WORD.findall(sentence)]
-        if not words:
-            return 0, 0, 0
-        other = len(_OTHER.findall(sentence))
-        if other * 3 > len(sentence):
-            return 0, 0, max(1, other // 2 if _WIDE.search(sentence) else len(words))
-        lang = self.language(words)
+        for lang in LANGUAGES:
+            if hits & _FIELD > most and lang in self.weights:
+                best, most = lang, hits & _FIELD
+            hits >>= _BITS
+        if most * 4 < n:
+            return None, 0.0, 0, n
+        w = self.weights[best]
+        x = features(sentence, words, self.words[best], self.unknown[best], _SETS[best])
+        return best, w[-1] + sum(a * b for a, b in zip(x, w, strict=False)), n, 0
+
+    def level(self, sentence: str) -> tuple[str | None, float, int, int]:
+        """(language, expected level, words, words of other languages)."""
+        lang, score, n, other = self.sentence(sentence)
         if lang is None:
-            return 0, 0, len(words)
-        x = (features(sentence, words, lang, self.difficulty[lang], self.middle[lang]) - self.mean[lang]) / self.scale[lang]
-        score = float(x @ self.weights[lang])
-        return int(np.searchsorted(self.cuts[lang], score)) + 1, len(words), 0
+            return None, 0.0, n, other
+        level = 1.0
+        for cut_ in self.cuts[lang]:
+            gap = cut_ - score
+            level += 1 / (1 + math.exp(gap)) if -40 < gap < 40 else float(gap < 0)
+        return lang, level, n, 0
+
+
+def _info(word: str, difficulty: float, sets: tuple) -> Info:
+    plain, deep, formal = sets
+    return difficulty, len(word), len(word) >= 9, word in plain, word in deep or word in formal, word in formal
 
 
-def features(sentence: str, words: list[str], lang: str, difficulty: dict[str, float], middle: float) -> np.ndarray:
-    """Lexical diversity, word rarity (mean, top, share unknown), connectives of three kinds, clause depth and length."""
+def features(sentence: str, words: list[str], known: dict[str, Info], unknown: tuple[float, float], sets: tuple) -> list[float]:
+    """Lexical diversity, length, word rarity (mean, top, upper half, share unknown), connectives of three kinds and clause depth."""
     n = len(words)
-    plain, deep, formal = _SETS[lang]
-    rare = [difficulty.get(w, middle + 0.12 * (len(w) - 7)) for w in words]
-    lengths = [len(w) for w in words]
-    deeper = sum(w in deep or w in formal for w in words)
+    total = top = 0.0
+    chars = longest = long = plain = deeper = formal = new = 0
+    rare = []
+    for w in words:
+        i = known.get(w)
+        if i is None:
+            new += 1
+            i = _info(w, unknown[0] + unknown[1] * min(14, len(w)), sets)
+        d, size, is_long, p, q, f = i
+        rare.append(d)
+        total += d
+        chars += size
+        if size > longest:
+            longest = size
+        long += is_long
+        plain += p
+        deeper += q
+        formal += f
+    rare.sort()
     pauses = len(_PAUSE.findall(sentence))
-    rare_sorted = sorted(rare)
-    return np.array([
-        len(set(words)) / n,
-        math.log(n),
-        sum(lengths) / n,
-        max(lengths),
-        sum(x >= 9 for x in lengths) / n,
-        sum(rare) / n,
-        rare_sorted[-1],
-        rare_sorted[(3 * n) // 4],
-        rare_sorted[n // 2],
-        sum(w in plain for w in words) / n,
-        deeper / n,
-        sum(w in formal for w in words) / n,
-        math.log1p(pauses + deeper),
-    ])
+    return [len(set(words)) / n, math.log(n), chars / n, longest, long / n, total / n, rare[-1], rare[(3 * n) // 4], rare[n // 2], new / n, plain / n, deeper / n, formal / n, math.log1p(pauses + deeper)]
 
 
 _SETS = {lang: tuple(frozenset(x) for x in lists) for lang, lists in CONNECTIVES.items()}
@@ -179,59 +220,120 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float
     return w, np.sort(cuts)
 
 
-def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS) -> Model:
-    """A model from graded texts (language, level 1 to 5, text); languages without texts have no levels."""
+def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.ndarray, hide: set[str], sets: tuple) -> tuple[dict[str, Info], tuple[float, float]]:
+    """Difficulty of each word, the mean level of its sentences drawn to the middle; and that of unknown words by length."""
+    total: Counter = Counter()
+    count: Counter = Counter()
+    for i in np.flatnonzero(use).tolist():
+        for w in set(rows[i][2]):
+            total[w] += float(now[i])
+            count[w] += 1
+    middle = float(now[use].mean()) if use.any() else 3.0
+    known = {w: _info(w, (total[w] + middle) / (c + 1), sets) for w, c in count.items() if w not in hide}
+    # words seen in few sentences stand for those never seen
+    seldom = [(min(14, len(w)), total[w] / c) for w, c in count.items() if c <= max(3, len(rows) // 300)]
+    if len(seldom) > 20:
+        x, y = np.array(seldom).T
+        slope = float(((x - x.mean()) * (y - y.mean())).sum() / max(((x - x.mean()) ** 2).sum(), 1e-9))
+        return known, (float(y.mean() - slope * x.mean()), slope)
+    return known, (middle - 0.7, 0.1)
+
+
+def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: int = 5, hidden: float = 0.3, seed: int = 3) -> Model:
+    """A model from graded texts (language, level 1 to 5, text); languages without texts have no levels.
+
+    A text's features come from a lexicon of the other folds, in which a part of the words is hidden
+    as well, so that the weights hold for words that no graded text has.
+    """
     model = Model()
+    rng = np.random.default_rng(seed)
     by: dict[str, list[tuple[int, str, list[str]]]] = {}
-    for lang, level, text in samples:
+    texts: dict[str, list[int]] = {}
+    for at, (lang, level, text) in enumerate(samples):
         if lang in CONNECTIVES and text and level in range(1, LEVELS + 1):
             for s in prose(text):
-                words = [w.lower() for w in _WORD.findall(s)]
+                words = _WORD.findall(s.lower())
                 if words:
                     by.setdefault(lang, []).append((level, s, words))
+                    texts.setdefault(lang, []).append(at)
     for lang, rows in sorted(by.items()):
+        sets = _SETS[lang]
         graded = np.array([r[0] for r in rows])
+        fold = np.array(texts[lang]) % folds
         now = graded.copy()
         weight = np.array([float(len(r[2])) ** 0.5 for r in rows])
+        vocabulary = sorted({w for r in rows for w in r[2]})
         for _ in range(rounds):
-            middle = float((now * weight).sum() / weight.sum())
-            total: Counter = Counter()
-            count: Counter = Counter()
-            for level, (_, _, words) in zip(now.tolist(), rows, strict=True):
-                for w in set(words):
-                    total[w] += level
-                    count[w] += 1
-            difficulty = {w: (total[w] + middle) / (count[w] + 1) for w in count}
-            x = np.stack([features(s, words, lang, difficulty, middle) for _, s, words in rows])
+            x = np.zeros((2 * len(rows), FEATURES))
+            for f in range(folds):
+                mine = np.flatnonzero(fold == f).tolist()
+                known, other = _lexicon(rows, now, fold != f, set(), sets)
+                part = {w for w, r in zip(vocabulary, rng.random(len(vocabulary)), strict=True) if r < hidden}
+                less = {w: i for w, i in known.items() if w not in part}
+                for i in mine:
+                    x[i] = features(rows[i][1], rows[i][2], known, other, sets)
+                    x[len(rows) + i] = features(rows[i][1], rows[i][2], less, other, sets)
             mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
             z = (x - mean) / scale
-            w, cuts = fit_ordinal(z, now, weight)
-            model.difficulty[lang], model.middle[lang] = difficulty, middle
-            model.weights[lang], model.cuts[lang], model.mean[lang], model.scale[lang] = w, cuts, mean, scale
-            now = np.clip(np.searchsorted(cuts, z @ w) + 1, graded - 1, graded + 1)
-            now = np.clip(now, 1, LEVELS)
+            w, cuts = fit_ordinal(z, np.concatenate([now, now]), np.concatenate([weight, weight]))
+            model.cuts[lang] = cuts.tolist()
+            raw, w_last = w / scale, w
+            model.weights[lang] = [*raw.tolist(), float(-(raw * mean).sum())]
+            now = np.clip(np.searchsorted(cuts, z[: len(rows)] @ w) + 1, np.maximum(1, graded - 1), np.minimum(LEVELS, graded + 1))
+        model.words[lang], model.unknown[lang] = _lexicon(rows, now, np.ones(len(rows), dtype=bool), set(), sets)
+        for word in model.words[lang]:
+            model.marks[word] = model.marks.get(word, 0) + (1 << _BITS * LANGUAGES.index(lang))
+        # whole texts: the centre of their words' levels, and bounds half way between the means of two levels
+        expected = 1 + (1 / (1 + np.exp(np.clip(np.array(model.cuts[lang])[None, :] - (z[: len(rows)] @ w_last)[:, None], -40, 40)))).sum(axis=1)
+        size = np.array([len(r[2]) for r in rows])
+        of = np.array(texts[lang])
+        whole: dict[int, list[float]] = {}
+        for t in np.unique(of):
+            mine = of == t
+            whole.setdefault(int(graded[mine][0]), []).append(centre_of(list(zip(expected[mine].tolist(), size[mine].tolist(), strict=True)), int(size[mine].sum())))
+        centre = [float(np.mean(whole[k])) if k in whole else float(k) for k in range(1, LEVELS + 1)]
+        model.bounds[lang] = [(a + b) / 2 for a, b in zip(centre, centre[1:], strict=False)]
     return model
 
 
-def level_of(model: Model, text: str | None, known: dict[str, tuple[int, int, int]]) -> tuple[int | None, int, float]:
-    """(level, words of prose, share of words at that level); no level without prose in a graded language."""
+def centre_of(parts: list[tuple[float, int]], total: int) -> float:
+    """Half way between mean and median of the levels of the words, from (level, words) of each sentence.
+
+    The median is the level that most of the prose reaches; the mean keeps fine differences.
+    """
+    run, median = 0, 0.0
+    for level, n in sorted(parts):
+        run += n
+        if 2 * run >= total:
+            median = level
+            break
+    return (sum(level * n for level, n in parts) / total + median) / 2
+
+
+def level_of(model: Model, text: str | None, known: dict) -> tuple[int | None, int, float | None]:
+    """(level, words of prose, centre of the words' levels); no level without prose in a graded language."""
     if not text:
-        return None, 0, 0.0
-    votes = [0] * (LEVELS + 1)
-    other = 0
+        return None, 0, None
+    words: dict[str, int] = {}
+    total = other = 0
+    parts: list[tuple[float, int]] = []
     for s in prose(text):
         found = known.get(s)
         if found is None:
             if len(known) >= REMEMBERED:
                 known.clear()
             found = known[s] = model.level(s)
-        votes[found[0]] += found[1]
-        other += found[2]
-    total = sum(votes[1:])
+        lang, level, n, more = found
+        other += more
+        if lang is not None:
+            total += n
+            parts.append((level, n))
+            words[lang] = words.get(lang, 0) + n
     if not total or other > total:
-        return None, total, 0.0
-    level = max(range(1, LEVELS + 1), key=lambda k: votes[k])
-    return level, total, votes[level] / total
+        return None, total, None
+    lang = max(words, key=lambda k: (words[k], k))
+    score = centre_of(parts, total)
+    return bisect_right(model.bounds[lang], score) + 1, total, score
 
 
 def read_samples(samples: DataFrame, most: int = MOST_SAMPLES) -> list[tuple[str, int, str]]:
@@ -241,19 +343,19 @@ def read_samples(samples: DataFrame, most: int = MOST_SAMPLES) -> list[tuple[str
 
 
 def levels(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, reading_level int, words long, share double) of every row.
+    """(key, reading_level int, words long, score double) of every row.
 
     reading_level is null for null and empty texts, texts without prose, and prose mostly in
-    languages that have no graded texts; of levels with equally many words the lower counts.
+    languages that have no graded texts. score is the centre of the levels of its words.
     The stated language isn't used. Whole texts are read; other columns are not.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(read_samples(samples)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, int, int]] = {}
+        known: dict = {}
         for b in batches:
             out = [level_of(model.value, t, known) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["k", "reading_level", "words", "share"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["k", "reading_level", "words", "score"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, reading_level int, words long, share double").withColumnRenamed("k", key)
+    return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, reading_level int, words long, score double").withColumnRenamed("k", key)
