@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import repeat
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,8 @@ MOST_SAMPLES = 5_000
 #: Strength of the penalty, and rounds of refitting on the model's own sentence levels.
 PENALTY = 1.0
 ROUNDS = 4
+#: Weight of the features that stand for sentences of an unseen make.
+UNSEEN = 0.3
 #: Cleaned sentences whose score a worker remembers: a bound of memory, without effect on results.
 REMEMBERED = 200_000
 
@@ -242,8 +245,8 @@ def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.nd
 def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: int = 5, hidden: float = 0.3, seed: int = 3) -> Model:
     """A model from graded texts (language, level 1 to 5, text); languages without texts have no levels.
 
-    A text's features come from a lexicon of the other folds, in which a part of the words is hidden
-    as well, so that the weights hold for words that no graded text has.
+    A sentence's features come from a lexicon of the other folds, in which a part of the words is
+    hidden as well, so that the weights hold for sentences and words that no graded text has.
     """
     model = Model()
     rng = np.random.default_rng(seed)
@@ -259,23 +262,25 @@ def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: in
     for lang, rows in sorted(by.items()):
         sets = _SETS[lang]
         graded = np.array([r[0] for r in rows])
-        fold = np.array(texts[lang]) % folds
+        # once texts are left out whole, and once sentences that begin alike, which are of one make
+        by_text = np.array(texts[lang]) % folds
+        by_make = np.array([crc32(" ".join(r[2][:2]).encode()) % folds for r in rows])
         now = graded.copy()
         weight = np.array([float(len(r[2])) ** 0.5 for r in rows])
         vocabulary = sorted({w for r in rows for w in r[2]})
         for _ in range(rounds):
             x = np.zeros((2 * len(rows), FEATURES))
             for f in range(folds):
-                mine = np.flatnonzero(fold == f).tolist()
-                known, other = _lexicon(rows, now, fold != f, set(), sets)
-                part = {w for w, r in zip(vocabulary, rng.random(len(vocabulary)), strict=True) if r < hidden}
-                less = {w: i for w, i in known.items() if w not in part}
-                for i in mine:
+                known, other = _lexicon(rows, now, by_text != f, set(), sets)
+                for i in np.flatnonzero(by_text == f).tolist():
                     x[i] = features(rows[i][1], rows[i][2], known, other, sets)
-                    x[len(rows) + i] = features(rows[i][1], rows[i][2], less, other, sets)
+                part = {w for w, r in zip(vocabulary, rng.random(len(vocabulary)), strict=True) if r < hidden}
+                known, other = _lexicon(rows, now, by_make != f, part, sets)
+                for i in np.flatnonzero(by_make == f).tolist():
+                    x[len(rows) + i] = features(rows[i][1], rows[i][2], known, other, sets)
             mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
             z = (x - mean) / scale
-            w, cuts = fit_ordinal(z, np.concatenate([now, now]), np.concatenate([weight, weight]))
+            w, cuts = fit_ordinal(z, np.concatenate([now, now]), np.concatenate([weight, UNSEEN * weight]))
             model.cuts[lang] = cuts.tolist()
             raw, w_last = w / scale, w
             model.weights[lang] = [*raw.tolist(), float(-(raw * mean).sum())]
@@ -292,7 +297,8 @@ def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: in
             mine = of == t
             whole.setdefault(int(graded[mine][0]), []).append(centre_of(list(zip(expected[mine].tolist(), size[mine].tolist(), strict=True)), int(size[mine].sum())))
         centre = [float(np.mean(whole[k])) if k in whole else float(k) for k in range(1, LEVELS + 1)]
-        model.bounds[lang] = [(a + b) / 2 for a, b in zip(centre, centre[1:], strict=False)]
+        # the score is on the scale of the levels, so a bound stays near the middle between two of them
+        model.bounds[lang] = [min(k + 0.5, max(k + 0.4, (a + b) / 2)) for k, (a, b) in enumerate(zip(centre, centre[1:], strict=False), 1)]
     return model
 
 
