@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.plans import keyed_queries
+from graphweave.plans import graph_queries, keyed_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (keyed_queries,)
+_MODULES = (graph_queries, keyed_queries)
 
 
 def queries() -> dict[str, Query]:
