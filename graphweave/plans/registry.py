@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphweave.plans import graph_queries, keyed_queries
+from graphweave.plans import build_queries, graph_queries, keyed_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_MODULES = (graph_queries, keyed_queries)
+_MODULES = (graph_queries, build_queries, keyed_queries)
 
 
 def queries() -> dict[str, Query]:
@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, root: str) -> DataFrame:
-    return keyed_queries.p2_key_profile(spark, root)
+    return graph_queries.QUERIES["hotspot_files"](spark, root)
