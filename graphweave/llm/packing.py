@@ -26,6 +26,8 @@ from graphweave.session import cut, parallelism
 #: Rounds of the multiplicative-weights solver and its step; the knapsack's steps along the capacity.
 ROUNDS = 40
 STEP = 0.35
+#: Power of the length that prices start from.
+LONG = 1.2
 GRID = 256
 
 
@@ -99,12 +101,14 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
     units = np.minimum(units, room)
     most = np.where(wide, 1, demand.astype(np.int64))
 
-    # covering: every class's share of its demand must reach 1; a weight falls as its share grows
+    # covering: every class's share of its demand must reach 1; a weight falls as its share grows.
+    # Prices start a little over the length, as long items are the hardest to place, and so keep configurations full
+    price = units.astype(np.float64) ** LONG
     share = np.zeros(len(units))
     chosen: dict[bytes, tuple[np.ndarray, float]] = {}
     for _ in range(rounds):
         weight = np.exp(-(share - share.min()) / step)
-        config = _knapsack(units, weight / weight.max() / demand, most, room)
+        config = _knapsack(units, price * weight / weight.max(), most, room)
         on = config > 0
         if not on.any():
             break
