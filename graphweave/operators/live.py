@@ -20,12 +20,24 @@ def newest(df: DataFrame, key: str, *order: str, columns: list[str] | None = Non
     return best.select(key, "row.*")
 
 
+#: Columns that an id determines, as it is a hash over them (a name is the end of the qualified name).
+NODE_FIXED = frozenset(("type", "name", "file_path"))
+EDGE_FIXED = frozenset(("source_id", "target_id", "type"))
+
+
+def _live(df: DataFrame, stamp: str, columns: list[str] | None, fixed: frozenset[str]) -> DataFrame:
+    """newest, or, where only columns are wanted that the id determines, distinct rows: a hash aggregate without any sort."""
+    if columns is not None and fixed.issuperset(columns):
+        return df.where("id is not null").select("id", *columns).distinct()
+    return newest(df, "id", stamp, columns=columns)
+
+
 def live_nodes(*tables: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = tables[0]
     for t in tables[1:]:
         rows = rows.unionByName(t)
-    return newest(rows, "id", "updated_at", columns=columns)
+    return _live(rows, "updated_at", columns, NODE_FIXED)
 
 
 def live_edges(edges: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    return newest(edges, "id", "created_at", columns=columns)
+    return _live(edges, "created_at", columns, EDGE_FIXED)
