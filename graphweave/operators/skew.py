@@ -9,7 +9,9 @@ partition, so only those two states are stitched; all others are final where the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -105,4 +107,5 @@ def heavy_keys(df: DataFrame, share: float = 0.01, key: str = "target_id", kind:
     """The keys that hold at least the given share of all rows, from the same profile."""
     profile = key_profile(df, key, kind, member, tie, partitions)
     total = profile.agg(F.sum("rows").alias("t")).first()["t"] or 0
-    return profile.where(F.col("rows") >= F.lit(float(share)) * F.lit(float(total)))
+    # in whole numbers: 0.01 * 700 is more than 7 in floating point
+    return profile.where(F.col("rows") >= F.lit(math.ceil(Fraction(str(share)) * total)))

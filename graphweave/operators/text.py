@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MARKER = "... (truncated)"
+#: Fixed value: what a cut answer ends with.
+MARKER = "… [truncated to stay under token budget]"
 
 
 def snippet(text: Column, chars: int = 2000) -> Column:
@@ -38,13 +39,17 @@ def budget_lines(lines: DataFrame, key: str, number: str, line: str, budget: int
     """The longest run of first lines of each key whose tokens, one more a line, and the marker fit the budget.
 
     A key whose whole text fits keeps all lines; cut says whether lines were left out. Costs are
-    positive, so the run is a filter on a running sum. A budget of 0 or less keeps everything.
+    positive, so the run is a filter on a running sum. Where not even the first line fits, it is cut
+    to the budget's characters. A budget of 0 or less keeps everything.
     """
     if budget <= 0:
         return lines.select(key, number, line, F.lit(False).alias("cut"))
     cost = token_estimate(F.col(line)) + 1
     per = Window.partitionBy(key)
-    rows = lines.withColumn("run", F.sum(cost).over(per.orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("whole", F.sum(cost).over(per))
+    chars = F.sum(F.length(line) + 1).over(per) - 1
+    rows = lines.withColumn("run", F.sum(cost).over(per.orderBy(number).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("chars", chars).withColumn("first", F.min(number).over(per))
     room = budget - (len(MARKER) // 4) - 2
-    fits = F.col("whole") <= budget
-    return rows.where(fits | (F.col("run") <= room)).select(key, number, line, (~fits).alias("cut"))
+    fits = F.when(F.col("chars") == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.col("chars") / 4))) <= budget
+    within = fits | (F.col("run") <= room)
+    short = F.substring(line, 1, max(0, budget * 4 - len(MARKER)))
+    return rows.where(within | (F.col(number) == F.col("first"))).select(key, number, F.when(within, F.col(line)).otherwise(short).alias(line), (~fits).alias("cut"))

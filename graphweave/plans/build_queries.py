@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphweave import config
 from graphweave.operators import build, diff, live, lookup, maintain, semantic, text, tree
 from graphweave.plans.graph_queries import LIVE, Graph
 from graphweave.schema import edge_id, node_id
@@ -156,16 +157,23 @@ def _(g):
     return repo.language_histogram(_t(g, "source_files"))
 
 
-@query("ignore_rules", r"""SELECT file_path, NOT (len(list_filter(string_split(file_path, '/')[2 : -2], lambda d: d IN ('node_modules', '__pycache__', 'dist', 'build', 'venv', 'env', 'coverage', 'vendor', 'target', 'site-packages', 'bower_components', 'tools') OR (starts_with(d, '.') AND d NOT IN ('.', '..')))) > 0)
+_FOLDERS = ", ".join(f"'{d}'" for d in config.IGNORED_FOLDERS)
+
+
+@query("ignore_rules", rf"""SELECT file_path, NOT (len(list_filter(string_split(file_path, '/')[1 : -2], lambda d: d IN ({_FOLDERS}, 'tools') OR (starts_with(d, '.') AND d NOT IN ('.', '..')))) > 0)
  AND NOT regexp_matches(regexp_extract(file_path, '[^/]*$'), '^.*_1.*$') AS kept FROM (SELECT DISTINCT file_path FROM source_files)""")
 def _(g):
-    from graphweave.config import IGNORED_FOLDERS
-
     path = F.col("file_path")
-    kept = ~repo.ignored_folder(path, (*IGNORED_FOLDERS, "tools")) & ~repo.ignored_name(path, ("*_1*",))
+    kept = ~repo.ignored_folder(path, (*config.IGNORED_FOLDERS, "tools")) & ~repo.ignored_name(path, ("*_1*",))
     return _t(g, "source_files").select("file_path").distinct().select("file_path", kept.alias("kept"))
 
 
+@query("wide_language_histogram", """SELECT CASE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) WHEN 'md' THEN 'unknown' WHEN 'py' THEN 'python' WHEN 'ts' THEN 'typescript' WHEN 'tsx' THEN 'typescript' WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'go' THEN 'go' WHEN 'java' THEN 'java' ELSE 'unknown' END AS language, count(DISTINCT file_path) AS files FROM (SELECT file_path FROM source_files UNION SELECT file_path FROM documents WHERE file_path IS NOT NULL) GROUP BY 1""")
+def _(g):
+    files = _t(g, "source_files").select("file_path").union(_t(g, "documents").where("file_path is not null").select("file_path"))
+    return repo.language_histogram(files, config.WIDE_EXTENSIONS)
+
+
 @query("content_hashes", "SELECT DISTINCT file_path, sha256(content) AS computed FROM source_files WHERE content IS NOT NULL")
 def _(g):
     return _t(g, "source_files").where("content is not null").select("file_path", F.sha2("content", 256).alias("computed")).distinct()
@@ -296,10 +304,11 @@ def _(g):
 
 _LINES = """l AS (SELECT doc_id, i AS line_no, string_split(text, chr(10))[i + 1] AS line FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
 c AS (SELECT *, CASE WHEN length(line) = 0 THEN 0 ELSE greatest(1, length(line) // 4) END + 1 AS cost FROM l),
-w AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, sum(cost) OVER (PARTITION BY doc_id) AS whole FROM c)"""
+w AS (SELECT *, sum(cost) OVER (PARTITION BY doc_id ORDER BY line_no) AS run, sum(length(line) + 1) OVER (PARTITION BY doc_id) - 1 AS chars FROM c),
+k AS (SELECT *, CASE WHEN chars = 0 THEN 0 ELSE greatest(1, chars // 4) END <= 400 AS fits FROM w)"""
 
 
-@query("budget_prefix", "SELECT doc_id, line_no, line, whole > 400 AS cut FROM w WHERE whole <= 400 OR run <= 400 - 3 - 2", _LINES)
+@query("budget_prefix", "SELECT doc_id, line_no, CASE WHEN fits OR run <= 388 THEN line ELSE substr(line, 1, 1560) END AS line, NOT fits AS cut FROM k WHERE fits OR run <= 388 OR line_no = 0", _LINES)
 def _(g):
     lines = _t(g, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return text.budget_lines(lines, "doc_id", "line_no", "line", 400)
@@ -320,12 +329,20 @@ def _(g):
 SQL["dir_tree_counts"] = SQL["dir_tree_counts"].replace("w_ AS (SELECT 1) f AS", "f AS")
 
 
+_COLLAPSED = """, ch AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1 : i - 1], '/') AS folder, string_split(path, '/')[i] AS child, i < len(string_split(path, '/')) AS is_folder FROM (SELECT path, unnest(range(2, len(string_split(path, '/')) + 1)) AS i FROM fh)),
+single AS (SELECT folder FROM ch WHERE folder <> '' GROUP BY 1 HAVING count(*) = 1 AND bool_and(is_folder)),
+stay AS (SELECT DISTINCT folder FROM ch WHERE folder <> '' AND folder NOT IN (SELECT folder FROM single)),
+ups AS (SELECT folder, up, array_to_string(string_split(folder, '/')[1 : len(string_split(folder, '/')) - up], '/') AS above FROM (SELECT folder, unnest(range(1, len(string_split(folder, '/')) + 1)) AS up FROM stay)),
+stops AS (SELECT folder, min(up) AS up FROM ups WHERE above NOT IN (SELECT folder FROM single) GROUP BY 1)
+SELECT folder, array_to_string(string_split(folder, '/')[len(string_split(folder, '/')) - up :], '/') AS label FROM stops"""
+
+
 @query("dir_children", """SELECT DISTINCT array_to_string(string_split(path, '/')[1 : i - 1], '/') AS folder, string_split(path, '/')[i] AS child, i < len(string_split(path, '/')) AS is_folder FROM (SELECT path, unnest(range(2, len(string_split(path, '/')) + 1)) AS i FROM fh)""", live_tables=True)
 def _(g):
     return tree.children(g.files().select("path"))
 
 
-@query("dir_collapsed", None)
+@query("dir_collapsed", _COLLAPSED, live_tables=True)
 def _(g):
     return tree.collapsed(g.files().select("path"))
 
@@ -383,7 +400,8 @@ def _(g):
     return changes.split_moves(rows)
 
 
-@query("relevant_changes", "SELECT DISTINCT file_path AS path FROM source_files WHERE NOT (len(list_filter(string_split(file_path, '/')[1 : -2], lambda d: d IN ('node_modules', '__pycache__', 'dist', 'build', 'venv', 'env', 'coverage', 'vendor', 'target', 'site-packages', 'bower_components') OR (starts_with(d, '.') AND d NOT IN ('.', '..')))) > 0) AND lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) IN ('py', 'ts', 'tsx', 'js', 'jsx') AND NOT regexp_matches(file_path, '(\\.min\\.js|\\.bundle\\.js|\\.d\\.ts)$')")
+@query("relevant_changes", rf"""SELECT DISTINCT file_path AS path FROM source_files WHERE NOT (len(list_filter(string_split(file_path, '/')[1 : -2], lambda d: d IN ({_FOLDERS}) OR (starts_with(d, '.') AND d NOT IN ('.', '..')))) > 0)
+ AND lower(regexp_extract(file_path, '\.([^./]+)$', 1)) IN ('py', 'ts', 'tsx', 'js', 'jsx') AND NOT regexp_matches(file_path, '\.min\.js$')""")
 def _(g):
     return changes.relevant(_t(g, "source_files").select(F.col("file_path").alias("path"))).distinct()
 

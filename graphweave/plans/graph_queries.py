@@ -127,6 +127,11 @@ def _(g):
     return stats.run_summary(table(g.spark, g.root, "index_runs"))
 
 
+@query("health", "SELECT 1::BIGINT AS ok")
+def _(g):
+    return g.spark.range(1).select((F.col("id") + 1).alias("ok"))
+
+
 # ---------------------------------------------------------------- lookups
 
 

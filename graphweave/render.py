@@ -29,10 +29,7 @@ def apply_budget(text: str, most: int = TOKENS_PER_ANSWER, count: Count = count_
         kept.append(line)
         used += cost
     if not kept:
-        first = text.split("\n", 1)[0]
-        while first and count(first) > room:
-            first = first[: max(0, len(first) - max(1, len(first) // 8))]
-        kept = [first] if first else []
+        kept = [text.split("\n", 1)[0][: max(0, most * 4 - len(MARKER))]]
     return "\n".join([*kept, MARKER])
 
 

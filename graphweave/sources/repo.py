@@ -62,8 +62,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def language_histogram(files: DataFrame) -> DataFrame:
-    return files.select(language(F.col("file_path")).alias("language"), "file_path").distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
+def language_histogram(files: DataFrame, extensions: dict[str, str] = config.EXTENSIONS) -> DataFrame:
+    return files.select(language(F.col("file_path"), extensions).alias("language"), "file_path").distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
 
 
 def git_diff(repo: str, ref: str = "HEAD", timeout: int = 30) -> str:

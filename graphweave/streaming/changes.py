@@ -30,15 +30,19 @@ def relevant(changes: DataFrame, root: str = "") -> DataFrame:
 def debounce(changes: DataFrame, gap_ms: int = DEBOUNCE_MS, key: str = "path", ts: str = "ts", flag: str = "deleted", tie: str | None = None) -> DataFrame:
     """(key, first, last, events, flag): bursts of a key whose events follow within the gap, with the last event's flag.
 
-    The batch form. An event exactly a gap after the one before starts a new burst.
+    The batch form. An event exactly a gap after the one before starts a new burst. A gap must be positive.
     """
     order = [ts, *([tie] if tie else [flag])]
-    w = Window.partitionBy(key).orderBy(*order)
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    gap = gap_ms * 1000
+    # events of a key within one stretch of a gap's length belong together, so they are folded on the map side first:
+    # what is sorted per key is bounded by its time span, however many events it has
+    folded = changes.groupBy(key, F.floor(us / gap).alias("stretch")).agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"), F.max_by(flag, F.struct(*order)).alias(flag))
+    w = Window.partitionBy(key).orderBy("stretch")
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = changes.withColumn("us", micros(ts))
-    opens = F.coalesce(F.col("us") - F.lag("us").over(w) >= gap_ms * 1000, F.lit(True)).cast("int")
-    numbered = rows.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(key, "burst").agg(F.min(ts).alias("first"), F.max(ts).alias("last"), F.count(F.lit(1)).alias("events"), F.max_by(flag, F.struct(*order)).alias(flag)).drop("burst")
+    opens = F.coalesce(micros("first") - F.lag(micros("last")).over(w) >= gap, F.lit(True)).cast("int")
+    numbered = folded.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return numbered.groupBy(key, "burst").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("events").alias("events"), F.max_by(flag, "stretch").alias(flag)).drop("burst")
 
 
 def debounce_stream(changes: DataFrame, gap_ms: int = DEBOUNCE_MS, late: str = "10 seconds") -> DataFrame:
@@ -53,6 +57,16 @@ def index_stream(bursts: DataFrame, index: Callable[[DataFrame, int], None], che
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+def index_on_change(engine, root: str) -> Callable[[DataFrame, int], None]:
+    """For index_stream: an incremental index of root for each micro-batch that holds a burst. Running it again changes nothing."""
+
+    def index(batch: DataFrame, _: int) -> None:
+        if not batch.isEmpty():
+            engine.index(root)
+
+    return index
+
+
 class Watch:
     """Start, stop and state of one change feed."""
 

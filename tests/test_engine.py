@@ -77,5 +77,25 @@ def test_catalogue_forms_agree():
 def test_budget_is_kept(budget):
     for text in ("x" * 5000, "\n".join(f"line {i} of many" for i in range(200)), "short", ""):
         out = apply_budget(text, budget)
-        assert count_tokens(out) <= max(budget, 5) and (out == text) == (count_tokens(text) <= budget)
+        assert count_tokens(out) <= max(budget, 11) and (out == text) == (count_tokens(text) <= budget)
     assert apply_budget("x" * 99, 0) == "x" * 99
+
+
+def test_stream_of_changes_keeps_the_graph_current(spark, tmp_path):
+    import datetime as dt
+
+    from graphweave.streaming import changes
+
+    root, feed = tmp_path / "repo", str(tmp_path / "feed")
+    write(root, {"a.py": "def one():\n    pass\n"})
+    at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    rows = lambda *r: spark.createDataFrame(list(r), changes.EVENT).coalesce(1)
+    rows(("modified", str(root / "a.py"), None, at(0)), ("modified", str(root / "a.txt"), None, at(0))).write.parquet(feed)
+    for later in (60, 120):  # what moves the watermark on takes effect one batch later
+        rows(("modified", "/x/z.md", None, at(later))).write.mode("append").parquet(feed)
+    events = spark.readStream.schema(changes.EVENT).option("maxFilesPerTrigger", 1).parquet(feed)
+    bursts = changes.debounce_stream(changes.split_moves(events), late="1 second")
+    e = Engine(spark, str(tmp_path / "store"))
+    query = changes.index_stream(changes.relevant(bursts, str(tmp_path)), changes.index_on_change(e, str(root)), str(tmp_path / "ck"))
+    query.awaitTermination(120)
+    assert [r["name"] for r in e.table("nodes").where("type = 'FUNCTION'").collect()] == ["one"]

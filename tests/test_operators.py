@@ -85,13 +85,14 @@ def test_text_columns(spark):
     got = [r[0] for r in df.select(text.embedding_text(F.col("q"), F.col("n"), F.col("s"), F.col("d"))).collect()]
     assert got == ["q | " + "d" * 240, "n"]
     lines = spark.createDataFrame([("k", i, "x" * 40) for i in range(10)], "k string, n int, line string")
-    kept = text.budget_lines(lines, "k", "n", "line", 50).collect()
+    kept = text.budget_lines(lines, "k", "n", "line", 60).collect()
     assert [r["n"] for r in kept] == [0, 1, 2, 3] and all(r["cut"] for r in kept)
+    assert [len(r["line"]) for r in text.budget_lines(spark.createDataFrame([("k", 0, "x" * 999)], lines.schema), "k", "n", "line", 50).collect()] == [160]
     assert text.budget_lines(lines, "k", "n", "line", 0).count() == 10
 
 
 def test_ignore_rules(spark):
-    paths = {"src/a.py": True, "node_modules/a.js": False, ".git/a.py": False, "a.min.js": False, "A.PY": True, "x/dist/a.ts": False, "readme.md": False, "noext": False, "x.d.ts": False}
+    paths = {"src/a.py": True, "node_modules/a.js": False, ".git/a.py": False, "a.min.js": False, "A.PY": True, "x/dist/a.ts": False, "readme.md": False, "noext": False, "x.d.ts": True, "yarn.lock": False}
     df = spark.createDataFrame([(p,) for p in paths], "p string")
     from pyspark.sql import functions as F
 

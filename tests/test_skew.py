@@ -40,6 +40,11 @@ def test_heavy_keys_share_is_inclusive(spark):
     assert [tuple(r)[:2] for r in skew.heavy_keys(df, 0.01).collect()] == [("a", "CALLS")]
 
 
+def test_share_is_exact_where_floats_are_not(spark):
+    rows = [("a", "CALLS", "s", i, 0) for i in range(7)] + [(f"b{i}", "CALLS", "s", i, 0) for i in range(693)]
+    assert skew.heavy_keys(spark.createDataFrame(rows, SCHEMA), 0.01).count() == 1
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert skew.key_profile(df).count() == 0
