@@ -35,6 +35,10 @@ MOST_EXTRA = 3
 LEAF_ROWS = 6_000
 #: Times a random direction is multiplied by the local covariance, which turns it to where the vectors spread most.
 SHARPEN = 2
+#: Priorities held at once: rows times leaves.
+QUEUE_CELLS = 4_000_000
+#: Times its size from which a leaf is searched through a forest of its own.
+OVERFULL = 3
 #: Nodes with changed vectors that may be broadcast; more are joined by a shuffle.
 MOVED_BROADCAST = 200_000
 #: Directions tried at a node, and the middle part of the projections in which it may split.
@@ -129,7 +133,12 @@ class Forest:
         return own, queue
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Parallel arrays row, leaf, own: what the shared queue gives for each row."""
+        """Parallel arrays row, leaf, own: what the shared queue gives for each row, some rows at a time."""
+        step = max(64, QUEUE_CELLS // sum(2**t.depth for t in self.trees))
+        parts = [(at, *self._leaves(x[at : at + step])) for at in range(0, max(1, len(x)), step)]
+        return np.concatenate([r + at for at, r, _, _ in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
+
+    def _leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own, queue = self.queue(x)
         n, t = own.shape
         rows, leaf, is_own = [np.repeat(np.arange(n), t)], [own.ravel()], [np.ones(n * t, dtype=bool)]
@@ -215,6 +224,26 @@ def _search(member: np.ndarray, member_h: np.ndarray, query: np.ndarray, query_h
     return out
 
 
+def _search_leaf(x: np.ndarray, h: np.ndarray, own: np.ndarray, k: int, leaf_rows: int, trees: int, extra: float) -> list[tuple[int, list[tuple[float, int]]]]:
+    """The k nearest members of every vector of a leaf. A leaf far over its size is searched through a forest of its own."""
+    members = int(own.sum())
+    if members <= OVERFULL * leaf_rows:
+        return _search(x[own], h[own], x, h, k) if members else []
+    unit = _unit(x)
+    rng = np.random.default_rng(members)
+    sample = unit[own][rng.permutation(members)[:SAMPLE_ROWS]]
+    depth = min(int(np.ceil(np.log2(members / leaf_rows))), int(np.log2(max(1, len(sample) // 4))))
+    row, leaf, is_own = fit_forest(sample, depth, trees, extra).leaves(unit)
+    found: dict[int, set[tuple[float, int]]] = {}
+    order = np.argsort(leaf, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        at, mine = row[part], is_own[part] & own[row[part]]
+        if mine.any():
+            for q, near in _search(x[at[mine]], h[at[mine]], x[at], h[at], k):
+                found.setdefault(q, set()).update(near)
+    return [(q, sorted(near, key=lambda s: (-s[0], s[1]))[:k]) for q, near in found.items()]
+
+
 def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec", newest: str | None = "updated_at", dim: int = 384, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, extra: float = EXTRA_LEAVES) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(owner, members, near): node -> direction, direction -> first members and their number, direction -> nearest other directions (d: cosine negated).
 
@@ -279,7 +308,7 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
         h, first = np.unique(h, return_index=True)
         own = own[first]
         x = _unpacked(table.column("v").combine_chunks().take(pa.array(first)), dim)
-        found = _search(x[own], h[own], x, h, k) if own.any() else []
+        found = _search_leaf(x, h, own, k, leaf_rows, trees, extra)
         columns = [pa.array([q for q, _ in found], pa.int64())]
         for j in range(k):
             columns.append(pa.array([of[j][0] if j < len(of) else None for _, of in found], pa.float64()))

@@ -51,6 +51,15 @@ def test_recall_over_many_leaves(spark):
     assert len(got & true) / len(true) >= 0.9
 
 
+def test_recall_where_leaves_are_far_over_their_size(spark):
+    dim = 24
+    x = vectors(3000, dim, 4)
+    rows = [(f"n{i:05d}", v.tolist(), "m", 1, 0) for i, v in enumerate(x)]
+    got = {tuple(r) for r in neighbours.nearest_pairs(spark.createDataFrame(rows, SCHEMA), k=5, dim=dim, leaf_rows=150, sample_rows=16).collect()}
+    true = brute(rows, 5, dim)
+    assert len(got & true) / len(true) >= 0.9
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_tiny_tables(spark, n):
     df = spark.createDataFrame([(f"n{i}", [1.0, float(i)], "m", 1, 0) for i in range(n)], SCHEMA)
