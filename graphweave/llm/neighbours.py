@@ -29,7 +29,7 @@ from graphweave.session import cut
 SAMPLE_ROWS = 20_000
 #: Trees, and leaves a search takes from the shared queue besides the own leaf of each tree: on average and at most.
 TREES = 2
-EXTRA_LEAVES = 0.25
+EXTRA_LEAVES = 0.5
 MOST_EXTRA = 3
 #: Vectors a leaf holds, about.
 LEAF_ROWS = 6_000
