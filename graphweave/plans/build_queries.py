@@ -334,7 +334,7 @@ single AS (SELECT folder FROM ch WHERE folder <> '' GROUP BY 1 HAVING count(*) =
 stay AS (SELECT DISTINCT folder FROM ch WHERE folder <> '' AND folder NOT IN (SELECT folder FROM single)),
 ups AS (SELECT folder, up, array_to_string(string_split(folder, '/')[1 : len(string_split(folder, '/')) - up], '/') AS above FROM (SELECT folder, unnest(range(1, len(string_split(folder, '/')) + 1)) AS up FROM stay)),
 stops AS (SELECT folder, min(up) AS up FROM ups WHERE above NOT IN (SELECT folder FROM single) GROUP BY 1)
-SELECT folder, array_to_string(string_split(folder, '/')[len(string_split(folder, '/')) - up :], '/') AS label FROM stops"""
+SELECT folder, array_to_string(string_split(folder, '/')[len(string_split(folder, '/')) - up + 1 :], '/') AS label FROM stops"""
 
 
 @query("dir_children", """SELECT DISTINCT array_to_string(string_split(path, '/')[1 : i - 1], '/') AS folder, string_split(path, '/')[i] AS child, i < len(string_split(path, '/')) AS is_folder FROM (SELECT path, unnest(range(2, len(string_split(path, '/')) + 1)) AS i FROM fh)""", live_tables=True)
