@@ -17,7 +17,7 @@ WIDE_EXTENSIONS = {
     "cs": "csharp", "php": "php", "rb": "ruby", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "scala": "scala", "sh": "bash", "bash": "bash", "zsh": "bash",
     "fish": "bash", "ps1": "powershell", "psm1": "powershell", "fs": "fsharp", "fsi": "fsharp", "fsx": "fsharp", "jsx": "javascript", "tsx": "typescript",
 }
-WIDE_IGNORED_FOLDERS = (".git", "node_modules", "venv", ".venv", "__pycache__", ".ckg", "build", "dist", "target", "out", "bin", "obj", ".env")
+WIDE_IGNORED_FOLDERS = (".git", "node_modules", "venv", ".venv", "__pycache__", "build", "dist", "target", "out", "bin", "obj", ".env")
 
 MAX_FILE_BYTES = 512 * 1024
 MAX_ROWS = 20
