@@ -4,9 +4,11 @@ Lengths are a histogram of at most capacity entries, whatever the number of item
 linear program over it (fewest containers such that the chosen configurations cover every length's
 count) is solved by multiplicative weights: each length has a weight, the best configuration
 under the current weights comes from a knapsack by dynamic programming, and the weights of the
-lengths it covers fall. The fractional solution is rounded down, and what it leaves over is filled
-best-fit. The plan names lengths, not items; it is turned into containers by each item's rank
-among the items of its length, so items never leave the executors.
+lengths it covers fall; a length that is covered leaves the program, which ends when none is left.
+Of the fractional solution each configuration gets its whole containers, and fractions carry over to
+the next one; the room it leaves is topped up, and the rest is filled with the longest that fit. The
+plan names lengths, not items; it is turned into containers by each item's rank among the items of
+its length, so items never leave the executors.
 """
 
 from __future__ import annotations
@@ -23,9 +25,11 @@ from pyspark.sql import functions as F
 from graphweave.llm.tokens import token_counts
 from graphweave.session import cut, parallelism
 
-#: Rounds of the multiplicative-weights solver and its step; the knapsack's steps along the capacity.
-ROUNDS = 40
+#: Step of the multiplicative-weights solver, how fast weights fall with the share covered, the part of a demand
+#: that counts as nothing, and the knapsack's steps along the capacity. Weights fall slowly, else configurations aren't full.
 STEP = 0.35
+FALL = 0.1
+OPEN = 1e-6
 #: Power of the length that prices start from.
 LONG = 1.2
 GRID = 256
@@ -33,12 +37,19 @@ GRID = 256
 
 @dataclass
 class Plan:
-    """Container kinds: spans[length] lists (first rank, past rank, first container, items of the length in each container)."""
+    """Container kinds: spans[length] lists (first rank, past rank, first container, items of the length in each container).
+
+    by_program, topped_up and filled are the parts of the items' length that the configurations, the
+    room they leave and the filling afterwards took.
+    """
 
     capacity: int
     containers: int = 0
     spans: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
     used: dict[int, int] = field(default_factory=dict)
+    by_program: float = 0.0
+    topped_up: float = 0.0
+    filled: float = 0.0
 
     def add(self, config: dict[int, int], times: int) -> None:
         for length, copies in config.items():
@@ -86,7 +97,33 @@ def _classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, grid: int)
     return units, member
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step: float = STEP, grid: int = GRID) -> Plan:
+def _program(units: np.ndarray, demand: np.ndarray, room: int, step: float) -> list[tuple[np.ndarray, float]]:
+    """Configurations and how often each is taken, such that together they cover every class's demand, none more than once over.
+
+    A round raises each class of its configuration by at most a step of the demand and closes it when
+    nothing is open, so there are at most about 1 / step + 1 rounds a class.
+    """
+    # prices start a little over the length, as long items are the hardest to place, and so keep configurations full
+    price = units.astype(np.float64) ** LONG
+    share = np.zeros(len(units))
+    chosen: dict[bytes, tuple[np.ndarray, float]] = {}
+    while True:
+        here = np.flatnonzero(share < 1 - OPEN)
+        if not len(here):
+            return list(chosen.values())
+        weight = np.exp(-FALL * (share[here] - share[here].min()))
+        copies = np.ceil((1 - share[here]) * demand[here] - OPEN).astype(np.int64)
+        config = np.zeros(len(units), dtype=np.int64)
+        config[here] = _knapsack(units[here], price[here] * weight, np.maximum(copies, 1), room)
+        on = config > 0
+        # the width of the step: until the scarcest class of the configuration gains a step of its demand or is covered
+        times = float((np.minimum(step, 1 - share[on]) * demand[on] / config[on]).min())
+        key = config.tobytes()
+        chosen[key] = (config, chosen.get(key, (config, 0.0))[1] + times)
+        share[on] += config[on] * times / demand[on]
+
+
+def solve(histogram: dict[int, int], capacity: int, step: float = STEP, grid: int = GRID) -> Plan:
     """A plan that lays every item of the histogram (length -> count, 1 <= length <= capacity)."""
     plan = Plan(capacity)
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), dtype=np.int64)
@@ -97,63 +134,67 @@ def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, step:
     room = capacity // max(1, capacity // grid)
     demand = np.bincount(member, weights=counts).astype(np.float64)
     # a length just under the capacity may round up to more than the grid's room; it fills a container alone
-    wide = units > room
     units = np.minimum(units, room)
-    most = np.where(wide, 1, demand.astype(np.int64))
-
-    # covering: every class's share of its demand must reach 1; a weight falls as its share grows.
-    # Prices start a little over the length, as long items are the hardest to place, and so keep configurations full
-    price = units.astype(np.float64) ** LONG
-    share = np.zeros(len(units))
-    chosen: dict[bytes, tuple[np.ndarray, float]] = {}
-    for _ in range(rounds):
-        weight = np.exp(-(share - share.min()) / step)
-        config = _knapsack(units, price * weight / weight.max(), most, room)
-        on = config > 0
-        if not on.any():
-            break
-        # the width of the step: until the scarcest class of the configuration gains one part of its demand
-        times = float((demand[on] / config[on]).min()) * step
-        key = config.tobytes()
-        before = chosen.get(key, (config, 0.0))[1]
-        chosen[key] = (config, before + times)
-        share[on] += config[on] * times / demand[on]
-    # scaled so that no class is covered more than once over, then rounded down
-    scale = 1.0 / max(share.max(), 1e-9)
     left = counts.copy()
     groups = [np.flatnonzero(member == g)[::-1] for g in range(len(units))]
-    configs = [(config, times * scale) for config, times in chosen.values()]
-    left = _place(plan, configs, lengths, left, groups)
+    _place(plan, _program(units, demand, room, step), lengths, left, groups)
+    total = float((lengths * counts).sum())
+    plan.filled = float((lengths * left).sum()) / total
+    plan.by_program, plan.topped_up = plan.by_program / total, plan.topped_up / total
     _fill(plan, lengths, left)
     return plan
 
 
-def _place(plan: Plan, configs: list[tuple[np.ndarray, float]], lengths: np.ndarray, left: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
-    """Rounds each configuration down and gives it real lengths, longest first, then tops it up with what fits."""
+def _place(plan: Plan, configs: list[tuple[np.ndarray, float]], lengths: np.ndarray, left: np.ndarray, groups: list[np.ndarray]) -> None:
+    """Rounds configurations, the most frequent first, carrying fractions over; gives each real lengths, longest first, then tops it up with what fits."""
+    carry = 0.5
     for config, times in sorted(configs, key=lambda c: -c[1]):
-        todo = int(times)
+        carry += times
+        todo = int(carry)
+        carry -= todo
         while todo > 0:
             real: dict[int, int] = {}
             total = 0
+            all_there = True
             for g in np.flatnonzero(config):
                 need = int(config[g])
                 for i in groups[g]:
                     if need and left[i]:
                         n = int(min(need, left[i]))
-                        real[i] = n
+                        real[int(i)] = n
                         total += n * int(lengths[i])
                         need -= n
+                all_there &= not need
             if not real or total > plan.capacity:
                 break
-            total += _top_up(real, lengths, left, plan.capacity - total)
+            if all_there:
+                total += _stretch(real, lengths, left, plan.capacity - total)
+            more = _top_up(real, lengths, left, plan.capacity - total)
             run = min(todo, *(int(left[i]) // n for i, n in real.items()))
             if run < 1:
                 break
             for i, n in real.items():
                 left[i] -= n * run
             plan.add({int(lengths[i]): n for i, n in real.items()}, run)
+            plan.by_program += total * run
+            plan.topped_up += more * run
             todo -= run
-    return left
+
+
+def _stretch(real: dict[int, int], lengths: np.ndarray, left: np.ndarray, room: int) -> int:
+    """Gives the room that the grid's rounding left to longer lengths in the places of a configuration, the longest place first; returns what they take."""
+    took = 0
+    for i in sorted(real, reverse=True):
+        n = real[i]
+        j = int(np.searchsorted(lengths, int(lengths[i]) + room // n, side="right")) - 1
+        while j > i and left[j] - real.get(j, 0) < n:
+            j -= 1
+        if j > i:
+            del real[i]
+            real[j] = real.get(j, 0) + n
+            room -= n * int(lengths[j] - lengths[i])
+            took += n * int(lengths[j] - lengths[i])
+    return took
 
 
 def _top_up(real: dict[int, int], lengths: np.ndarray, left: np.ndarray, room: int) -> int:

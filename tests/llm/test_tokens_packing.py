@@ -63,6 +63,15 @@ def test_plan_is_exact_and_tight(seed):
     assert plan.containers <= len(rooms) * 1.01 + 1
 
 
+def test_program_covers_heavy_lengths_beside_a_long_tail():
+    # longest first lays 176 + 176 and 112 + 112 + 112; only 176 + 112 + 112 is full
+    histogram = {n: 1 for n in range(120, 400)} | {176: 100_000, 112: 200_000}
+    plan = packing.solve(histogram, 400)
+    assert plan.used == histogram
+    assert plan.containers <= 1.01 * sum(n * c for n, c in histogram.items()) / 400
+    assert plan.by_program >= 0.95 and plan.by_program + plan.topped_up + plan.filled == pytest.approx(1)
+
+
 def test_packing_rows(spark):
     rng = random.Random(5)
     sizes = [rng.choice([0, 3, 7, 7, 7, 12, 40, 100, 101, 205, 350]) for _ in range(500)] + [None, 1000]
