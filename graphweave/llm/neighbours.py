@@ -8,7 +8,9 @@ margin on the way to a leaf: first the vector's own leaf in each tree, then the
 closest splits. The leaf candidates are ranked by their exact cosine.
 
 Vectors of one direction form a class. A class is searched once, and keeps the first few of its
-members, so that groups of copies of any size neither fill a cell nor hide other neighbours.
+members, so that groups of copies of any size neither fill a cell nor hide other neighbours. Copies
+of another length differ in the last bits and are classes of their own with a cosine of 1 to each
+other; equal cosines, these too, are taken in order of the node.
 """
 
 from __future__ import annotations
@@ -41,6 +43,9 @@ QUEUE_CELLS = 4_000_000
 OVERFULL = 3
 #: Nodes with changed vectors that may be broadcast; more are joined by a shuffle.
 MOVED_BROADCAST = 200_000
+#: Candidates of a search, times k + 1, from which cosines to all members are taken at once; step in which near copies are found in an overfull leaf.
+MANY = 4
+COPY = 1e-4
 #: Directions tried at a node, and the middle part of the projections in which it may split.
 TRIES = 6
 MIDDLE = 0.15
@@ -184,7 +189,11 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _direction(x: np.ndarray) -> np.ndarray:
     """A 64-bit number of each direction; two of n directions share one with a chance of about n * n / 2**65."""
-    return np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in _unit(x)], dtype=np.int64)
+    return _numbers(_unit(x))
+
+
+def _numbers(rows: np.ndarray) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(r.tobytes(), digest_size=8).digest(), "little", signed=True) for r in rows], dtype=np.int64)
 
 
 def _packed(x: np.ndarray) -> list[bytes]:
@@ -202,33 +211,55 @@ def _unpacked(col: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def _search(member: np.ndarray, member_h: np.ndarray, query: np.ndarray, query_h: np.ndarray, k: int) -> list[tuple[int, list[tuple[float, int]]]]:
-    """The k nearest members of each query: candidates by one matrix product, exactly reranked in double precision."""
+def _search(member: np.ndarray, member_at: np.ndarray, query: np.ndarray, query_at: np.ndarray, k: int) -> list[tuple[int, list[tuple[float, int]]]]:
+    """The k nearest members of each query, equal cosines in order of their place.
+
+    Candidates by one matrix product, all that may be among the first k for its rounding, exactly reranked
+    in double precision. member_at is in rising order.
+    """
     unit = _unit(member)
     wide = member.astype(np.float64)
     wide /= np.linalg.norm(wide, axis=1, keepdims=True)
     out: list[tuple[int, list[tuple[float, int]]]] = []
-    take = min(len(member), k + 4)  # room for the query itself and near ties
+    take = min(len(member), k + 1)  # room for the query itself
+    error = np.float32(2 * (member.shape[1] + 4) * 2.0**-24)  # of two products of unit vectors in single precision
     for at in range(0, len(query), 512):
         q = query[at : at + 512]
         near = _unit(q) @ unit.T
-        top = np.argpartition(-near, take - 1, axis=1)[:, :take] if take < len(member) else np.broadcast_to(np.arange(len(member)), near.shape)
+        least = np.partition(near, len(member) - take, axis=1)[:, len(member) - take] - error
+        close = near >= least[:, None]
+        many = np.flatnonzero(close.sum(axis=1) > MANY * (k + 1))
+        close[many] = False
+        row, col = np.nonzero(close)
+        ends = np.searchsorted(row, np.arange(len(q) + 1))
         exact = q.astype(np.float64)
         exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for part in range(0, len(many), 64):
+            rows = many[part : part + 64]
+            cosines = np.round(exact[rows] @ wide.T, 12)
+            last = np.partition(cosines, len(member) - take, axis=1)[:, len(member) - take]
+            for i, cos, c in zip(rows.tolist(), cosines, last, strict=True):
+                places = np.concatenate([np.flatnonzero(cos > c), np.flatnonzero(cos == c)[:take]])
+                best[i] = places, cos[places]
         for i in range(len(q)):
-            mine = query_h[at + i]
-            places = top[i]
-            cos = np.round((wide[places] * exact[i]).sum(axis=1), 12)
-            order = np.lexsort((member_h[places], -cos))
-            out.append((int(mine), [(float(cos[j]), int(member_h[places[j]])) for j in order if member_h[places[j]] != mine][:k]))
+            mine = query_at[at + i]
+            if i in best:
+                places, cos = best[i]
+            else:
+                places = col[ends[i] : ends[i + 1]]
+                cos = np.round((wide[places] * exact[i]).sum(axis=1), 12)
+            order = np.lexsort((member_at[places], -cos))[: k + 1]
+            out.append((int(mine), [(float(cos[j]), int(member_at[places[j]])) for j in order if member_at[places[j]] != mine][:k]))
     return out
 
 
-def _search_leaf(x: np.ndarray, h: np.ndarray, own: np.ndarray, k: int, leaf_rows: int, trees: int, extra: float) -> list[tuple[int, list[tuple[float, int]]]]:
-    """The k nearest members of every vector of a leaf. A leaf far over its size is searched through a forest of its own."""
+def _search_leaf(x: np.ndarray, own: np.ndarray, k: int, leaf_rows: int, trees: int, extra: float) -> list[tuple[int, list[tuple[float, int]]]]:
+    """The k nearest members of every vector of a leaf, by place. A leaf far over its size is searched through a forest of its own."""
     members = int(own.sum())
+    places = np.arange(len(x))
     if members <= OVERFULL * leaf_rows:
-        return _search(x[own], h[own], x, h, k) if members else []
+        return _search(x[own], places[own], x, places, k) if members else []
     unit = _unit(x)
     rng = np.random.default_rng(members)
     sample = unit[own][rng.permutation(members)[:SAMPLE_ROWS]]
@@ -237,15 +268,33 @@ def _search_leaf(x: np.ndarray, h: np.ndarray, own: np.ndarray, k: int, leaf_row
     found: dict[int, set[tuple[float, int]]] = {}
     order = np.argsort(leaf, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
+        part = part[np.argsort(row[part], kind="stable")]
         at, mine = row[part], is_own[part] & own[row[part]]
         if mine.any():
-            for q, near in _search(x[at[mine]], h[at[mine]], x[at], h[at], k):
+            for q, near in _search(x[at[mine]], at[mine], x[at], at, k):
                 found.setdefault(q, set()).update(near)
-    return [(q, sorted(near, key=lambda s: (-s[0], s[1]))[:k]) for q, near in found.items()]
+    # the forest parts a large group of near copies by their last bits; each must still meet the first of its group
+    for shift in (0.0, 0.5):
+        copy = _numbers(np.rint(unit / np.float32(COPY) + np.float32(shift)).astype(np.int32))
+        order = np.argsort(copy, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(copy[order])) + 1):
+            first = at[own[at]][: k + 1]
+            if len(at) > 1 and len(first):
+                for q, near in _search(x[first], first, x[at], at, k):
+                    found.setdefault(q, set()).update(near)
+    return [(q, _first(near, k)) for q, near in found.items()]
+
+
+def _first(near: set[tuple[float, int]], k: int) -> list[tuple[float, int]]:
+    """The first k by cosine and place, each place once."""
+    best: dict[int, float] = {}
+    for cos, at in near:
+        best[at] = max(cos, best.get(at, -2.0))
+    return sorted(((cos, at) for at, cos in best.items()), key=lambda s: (-s[0], s[1]))[:k]
 
 
 def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec", newest: str | None = "updated_at", dim: int = 384, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, extra: float = EXTRA_LEAVES) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(owner, members, near): node -> direction, direction -> first members and their number, direction -> nearest other directions (d: cosine negated).
+    """(owner, members, near): node -> direction, direction -> first members, direction -> nearest other directions (d: cosine negated), with all as near as the k-th.
 
     Rows whose vector is null, of another length, all zero or not finite are left out; of a node's
     rows the newest usable one counts. Extra columns are not read.
@@ -286,66 +335,69 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
         source = rows.join(F.broadcast(moved) if many <= MOVED_BROADCAST else moved, "n", "left").where(F.col("last").isNull() | F.col("t").eqNullSafe(F.col("last")))
 
     def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        first: dict = {}  # direction -> its first node so far; a direction is sent again if an earlier one turns up
         for b in batches:
-            _, x = _rows(b.column(0), dim)
+            at, x = _rows(b.column(1), dim)
+            names = b.column(0).take(pa.array(at))
             h = _direction(x)
-            fresh = np.zeros(len(h), dtype=bool)
-            for i, value in enumerate(h.tolist()):
-                if value not in seen:
-                    seen.add(value)
-                    fresh[i] = True
-            x, h = x[fresh], h[fresh]
-            if not len(h):
+            fresh: dict[int, int] = {}
+            for i, (value, name) in enumerate(zip(h.tolist(), names.to_pylist(), strict=True)):
+                if value not in first or name < first[value]:
+                    first[value] = name
+                    fresh[value] = i
+            send = np.array(sorted(fresh.values()), dtype=np.int64)
+            if not len(send):
                 continue
+            x, h, names = x[send], h[send], names.take(pa.array(send))
             row, leaf, own = forest.value.leaves(_unit(x))
-            packed = pa.array(_packed(x), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(own), pa.array(h[row]), packed.take(pa.array(row))], names=["leaf", "own", "h", "v"])
+            packed, places = pa.array(_packed(x), pa.binary()), pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(own), pa.array(h[row]), names.take(places), packed.take(places)], names=["leaf", "own", "h", "n", "v"])
 
     def search(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy()
-        own = table.column("own").to_numpy()
-        h, first = np.unique(h, return_index=True)
-        own = own[first]
+        # directions in order of their first node, so that their places decide between equal cosines
+        table = table.take(pc.sort_indices(table, [("n", "ascending")]))
+        h, first, same = np.unique(table.column("h").to_numpy(), return_index=True, return_inverse=True)
+        own = np.bincount(same, weights=table.column("own").to_numpy()) > 0
+        order = np.argsort(first)
+        h, first, own = h[order], first[order], own[order]
         x = _unpacked(table.column("v").combine_chunks().take(pa.array(first)), dim)
-        found = _search_leaf(x, h, own, k, leaf_rows, trees, extra)
-        columns = [pa.array([q for q, _ in found], pa.int64())]
+        found = _search_leaf(x, own, k, leaf_rows, trees, extra)
+        columns = [pa.array(h[[q for q, _ in found]] if found else [], pa.int64())]
         for j in range(k):
             columns.append(pa.array([of[j][0] if j < len(of) else None for _, of in found], pa.float64()))
-            columns.append(pa.array([of[j][1] if j < len(of) else None for _, of in found], pa.int64()))
+            columns.append(pa.array([int(h[of[j][1]]) if j < len(of) else None for _, of in found], pa.int64()))
         return pa.table(columns, names=["h", *flat])
 
     # flat columns: a row of numbers takes half the bytes of a list of structs in the shuffle
     flat = [f"{c}{j}" for j in range(k) for c in "ch"]
-    leaves = source.select("v").mapInArrow(route, "leaf int, own boolean, h long, v binary")
+    leaves = source.select("n", "v").mapInArrow(route, f"leaf int, own boolean, h long, n {kind}, v binary")
     lists = leaves.groupBy("leaf").applyInArrow(search, "h long, " + ", ".join(f"{c} {'double' if c[0] == 'c' else 'long'}" for c in flat))
     one = F.filter(F.array(*[F.struct((-F.col(f"c{j}")).alias("d"), F.col(f"h{j}").alias("h")) for j in range(k)]), lambda s: s["h"].isNotNull())
-    near = lists.repartition("h").groupBy("h").agg(F.flatten(F.collect_list(one)).alias("near"))
-    return owner.select("n", "h"), members, near.select("h", F.slice(F.array_sort(F.array_distinct("near")), 1, k).alias("near"))
+    near = lists.repartition("h").groupBy("h").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("near"))
+    once = near.select("h", F.filter("near", lambda s, i: F.array_position(F.col("near.h"), s["h"]) == i + 1).alias("near"))
+    tied = F.filter("near", lambda s: s["d"] <= F.coalesce(F.get("near", F.lit(k - 1))["d"], s["d"]))
+    return owner.select("n", "h"), members, once.select("h", tied.alias("near"))
 
 
 def _members(owner: DataFrame, k: int) -> DataFrame:
-    """The number and the first k + 1 members of each direction; only those are ever kept together."""
+    """The first k + 1 members of each direction; only those are ever kept together."""
     ranked = owner.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("n"))).where(F.col("r") <= k + 1)
-    counts = owner.groupBy("h").agg(F.count(F.lit(1)).alias("many"))
-    return ranked.groupBy("h").agg(F.array_sort(F.collect_list("n")).alias("ids")).join(counts, "h")
+    return ranked.groupBy("h").agg(F.array_sort(F.collect_list("n")).alias("ids"))
 
 
 def nearest_pairs(df: DataFrame, k: int = 5, **how) -> DataFrame:
     """(node_a, node_b): unordered pairs, the smaller first, of which one is among the other's k nearest; each once.
 
-    Equal cosines are taken in order of the node. Nodes of one direction have cosine 1 to each
-    other, so with more than k of them their nearest are the first of their own class.
+    Equal cosines are taken in order of the node, also between nodes of one direction, whose cosine is
+    1, and those of another direction with a cosine of 1.
     """
     owner, members, near = nearest(df, k, **how)
-    pair = lambda a, b: [F.least(a, b).alias("node_a"), F.greatest(a, b).alias("node_b")]
-    shared = members.where("many > 1").select("h", "ids")
-    inside = owner.join(shared, "h").select("n", F.explode(F.slice(F.array_except("ids", F.array("n")), 1, k)).alias("o")).select(*pair("n", "o"))
-    # a class of up to k members has places left for the nodes of the nearest other directions
     other = members.select(F.col("h").alias("oh"), F.slice("ids", 1, k).alias("others"))
     wanted = near.select("h", F.explode("near").alias("s")).select("h", F.col("s.d").alias("d"), F.col("s.h").alias("oh"))
     spread = wanted.join(other, "oh").select("h", "d", F.explode("others").alias("o"))
-    open_ = members.where(F.col("many") <= k).select("h", "ids", (F.lit(k + 1) - F.col("many")).alias("room"))
-    ranked = spread.withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("d", "o"))).where(F.col("r") <= k)
-    outside = ranked.join(open_, "h").where("r <= room").select(F.explode("ids").alias("n"), "o").select(*pair("n", "o"))
-    return inside.unionByName(outside).distinct()
+    own = members.select("h", F.lit(-1.0).alias("d"), F.explode("ids").alias("o"))
+    # one more than k, as a node isn't its own neighbour
+    ranked = spread.unionByName(own).withColumn("r", F.row_number().over(Window.partitionBy("h").orderBy("d", "o"))).where(F.col("r") <= k + 1)
+    first = ranked.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "o"))), lambda s: s["o"]).alias("first"))
+    pairs = owner.join(first, "h").select("n", F.explode(F.slice(F.array_except("first", F.array("n")), 1, k)).alias("o"))
+    return pairs.select(F.least("n", "o").alias("node_a"), F.greatest("n", "o").alias("node_b")).distinct()

@@ -42,6 +42,32 @@ def test_exact_in_one_leaf_with_dirt(spark):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 5, dim)
 
 
+@pytest.mark.parametrize("leaf_rows, sample_rows", [(6000, 1000), (40, 4)])
+def test_copies_of_other_lengths_are_taken_in_order_of_the_node(spark, leaf_rows, sample_rows):
+    dim, k = 48, 5
+    rng = np.random.default_rng(6)
+    x = vectors(160, dim, 5)
+    parts = [x, x[7] + 0.05 * rng.standard_normal((6, dim)), *(x[7:8] * f for f in (0.7, 1.3, *rng.uniform(0.5, 2, 198))), *(x[9:10] * f for f in (0.7, 1.3))]
+    x = np.concatenate(parts).astype(np.float32)
+    copies = {7, *range(166, 366)}
+    ids = [f"{i:03d}" for i in rng.permutation(len(x))]
+    rows = [(n, v.tolist(), "m", 1, 0) for n, v in zip(ids, x, strict=True)]
+    got = [tuple(r) for r in neighbours.nearest_pairs(spark.createDataFrame(rows, SCHEMA), k=k, dim=dim, leaf_rows=leaf_rows, sample_rows=sample_rows).collect()]
+    wide = x.astype(np.float64)
+    wide /= np.linalg.norm(wide, axis=1, keepdims=True)
+    true = set()
+    for i in range(len(x)):
+        cos = np.round((wide * wide[i]).sum(axis=1), 12)
+        assert i not in copies or (cos[sorted(copies)] == 1).all()
+        for j in [j for j in sorted(range(len(x)), key=lambda j: (-cos[j], ids[j])) if j != i][:k]:
+            true.add((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    assert len(got) == len(set(got))
+    if leaf_rows > len(x):
+        assert set(got) == true
+    tied = {ids[i] for i in copies}
+    assert {p for p in got if set(p) <= tied} == {p for p in true if set(p) <= tied}
+
+
 def test_recall_over_many_leaves(spark):
     dim = 32
     x = vectors(4000, dim, 2)
