@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from graphweave.llm.docs import informative
 from graphweave.llm.validity import extension
 
-#: Lines of a file whose functions are matched together; a longer file is matched in parts.
-PART_LINES = 5_000
 #: Links below this score are implausible.
 LEAST_SCORE = 2.0
 
@@ -310,11 +308,18 @@ def _judge(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def _with_files(rows: DataFrame, files: DataFrame) -> DataFrame:
-    """rows with found, kind and code from their files; rows without a readable file are left out."""
+def _with_files(rows: DataFrame, files: DataFrame, bare_only: bool = False) -> DataFrame:
+    """rows with found, kind and code from their files; rows without a readable file are left out.
+
+    All functions of a file are placed together, as one can only take what no other is nearer to.
+    bare_only: only functions without a docstring (null) and their namesakes in the file are wanted.
+    """
     text = files.where("content is not null and file_path is not null").groupBy("file_path").agg(F.max_by("content", "scanned_at").alias("content"))
-    part = F.floor(F.coalesce("start_line", F.lit(0)) / PART_LINES).alias("part")
-    grouped = rows.where("file_path is not null").groupBy("file_path", part).agg(F.collect_list(F.struct(*[c for c in _NODE if c != "file_path"])).alias("functions"))
+    grouped = rows.where("file_path is not null").groupBy("file_path").agg(F.collect_list(F.struct(*[c for c in _NODE if c != "file_path"])).alias("functions"))
+    if bare_only:  # functions compete for places with namesakes only
+        bare = F.transform(F.filter("functions", lambda f: f["docstring"].isNull()), lambda f: f["name"])
+        grouped = grouped.withColumn("bare", bare).where(F.size("bare") > 0)
+        grouped = grouped.withColumn("functions", F.filter("functions", lambda f: f["docstring"].isNull() | F.array_contains("bare", f["name"])))
     both = grouped.join(text, "file_path").select("file_path", "content", "functions")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,8 +341,10 @@ def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """(id) of the functions and methods whose documentation says something; files are read only for those without a docstring."""
     rows = _latest(nodes)
     own = _judge(rows.where(f"not ({_BLANK})").select("id", "name", "signature", "docstring")).select("id")
-    bare = rows.where(_BLANK).withColumn("source_snippet", F.lit(None).cast("string"))
-    found = _with_files(bare, files).where("found is not null").select("id", "name", "signature", F.col("found").alias("docstring"))
+    # a function with a docstring only takes its place in the file
+    bare = F.expr(_BLANK)
+    placed = rows.withColumns({"signature": F.when(bare, F.col("signature")), "docstring": F.when(~bare, F.lit("-")), "source_snippet": F.lit(None).cast("string")})
+    found = _with_files(placed, files, bare_only=True).where("found is not null").select("id", "name", "signature", F.col("found").alias("docstring"))
     return own.unionByName(_judge(found).select("id"))
 
 

@@ -87,3 +87,12 @@ def test_tables(spark):
     pairs = {r["id"]: r for r in doc_pairs.pairs(nodes, files).collect()}
     assert set(pairs) == {"1", "2", "3"} and pairs["3"]["code_from"] == "snippet" and pairs["1"]["documentation_from"] == "comment" and pairs["2"]["code"].lstrip().startswith("def b")
     assert doc_pairs.documented(nodes.limit(0), files).count() == 0 and doc_pairs.documented(nodes, files.limit(0)).count() == 1
+
+
+def test_functions_of_a_file_are_placed_together(spark):
+    node = "id string, type string, name string, qualified_name string, file_path string, start_line int, end_line int, signature string, docstring string, source_snippet string, updated_at int, x string"
+    places = [("has", "a.py", 2, "Idempotent; safe to repeat."), ("stale", "a.py", 40, None), ("right", "b.py", 2, None), ("far", "b.py", 6000, None)]
+    nodes = spark.createDataFrame([(i, "FUNCTION", "f", None, path, line, line + 1, "f(x)", doc, None, 1, "x") for i, path, line, doc in places], node)
+    files = spark.createDataFrame([(p, "# Not thread-safe.\ndef f(x):\n    return x\n", 1) for p in ("a.py", "b.py")], "file_path string, content string, scanned_at int")
+    assert sorted(r[0] for r in doc_pairs.documented(nodes, files).collect()) == ["has", "right"]
+    assert sorted(r["id"] for r in doc_pairs.pairs(nodes, files).collect()) == ["has", "right"]
