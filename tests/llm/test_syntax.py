@@ -76,3 +76,10 @@ def test_files_rows(spark):
     whole = {r["language"]: r for r in validity.rates(validity.check_files(df), said).where("whole").collect()}
     assert whole["python"]["invalid"] == 2 and whole["python"]["told"] == 1 and whole["python"]["false_alarms"] == 1
     assert validity.rates(validity.check_files(df.limit(0))).count() == 0
+
+
+def test_files_say_where_the_interpreter_disagrees_with_the_parser(spark):
+    texts = {"/r/a.py": "x = 1", "/r/b.py": "x = ", "/r/c.py": "from __future__ import teleportation", "/r/d.js": "let a = ;"}
+    df = spark.createDataFrame([(p, "/r", t, 1) for p, t in texts.items()], "file_path string, repo_path string, content string, scanned_at int")
+    got = {r["file_path"]: (r["valid"], r["parser_valid"]) for r in validity.check_files(df).collect()}
+    assert got == {"/r/a.py": (True, True), "/r/b.py": (False, False), "/r/c.py": (False, True), "/r/d.js": (False, False)}
