@@ -6,21 +6,24 @@ import re
 
 from graphweave.llm.syntax import Bad, Fault, Faults
 
-_ID = r"(?:[^\W\d]|[$_]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))(?:[\w$\u200c\u200d]|\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\}))*"
-_SKIP = re.compile(r"(?:[ \t\n\r\v\f\xa0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+|//[^\n\r\u2028\u2029]*|/\*[\s\S]*?\*/)+")
+_UNIT = r"\\u(?:[0-9a-fA-F]{4}|\{[0-9a-fA-F]+\})"
+_ID = rf"(?:[A-Za-z_$]|[^\W\d]|{_UNIT})[\w$\u200c\u200d]*+(?:{_UNIT}[\w$\u200c\u200d]*+)*+"
+_BLANK = r"(?:[ \t\n\r\v\f\xa0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++|//[^\n\r\u2028\u2029]*+|/\*(?>[\s\S]*?\*/))"
+_SKIP = re.compile(f"{_BLANK}+")
 _BREAK = re.compile(r"[\n\r\u2028\u2029]")
 _TOKEN = re.compile(
-    rf"""(?P<name>{_ID})
+    rf"""{_BLANK}*+(?:(?P<name>{_ID})
 |(?P<num>0[xX][0-9a-fA-F]+(?:_[0-9a-fA-F]+)*n?|0[oO][0-7]+(?:_[0-7]+)*n?|0[bB][01]+(?:_[01]+)*n?
   |(?:(?:\d+(?:_\d+)*)(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?n?)
-|(?P<str>'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'|"(?:[^"\\\n\r]|\\(?:\r\n|[\s\S]))*")
+|(?P<str>'[^'\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^'\\\n\r]*+)*+'|"[^"\\\n\r]*+(?:\\(?:\r\n|[\s\S])[^"\\\n\r]*+)*+")
 |(?P<private>\#{_ID})
-|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@`])""",
+|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{{}}()\[\];,<>+\-*/%&|^!~?:=.@`])
+|(?P<eof>\Z))""",
     re.X,
 )
 _REGEX = re.compile(r"/(?![*/])(?:[^\[\]/\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029]|\](?=)|\[(?:[^\]\\\n\r\u2028\u2029]|\\[^\n\r\u2028\u2029])*\])+/[\w$]*")
 _ESCAPE = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?!\{[0-9a-fA-F]{1,6}\}|[0-9a-fA-F]{4}))")
-_TEMPLATE = re.compile(r"(?:[^`\\$]|\\[\s\S]|\$(?!\{))*")
+_TEMPLATE = re.compile(r"[^`\\$]*+(?:(?:\\[\s\S]|\$(?!\{))[^`\\$]*+)*+")
 _JSX_TEXT = re.compile(r"[^<>{}]*")
 _JSX_NAME = re.compile(rf"\s*({_ID}(?:-[\w$-]*)?(?:[:.]{_ID}(?:-[\w$-]*)?)*)")
 _JSX_STRING = re.compile(r"\s*(?:\"[^\"]*\"|'[^']*')")
@@ -50,6 +53,7 @@ class Parser:
         self.kind = self.val = ""
         self.start = self.end = self.last = 0
         self.broke = False
+        self.known: dict[int, tuple[str, str, int, int, bool]] = {}  # place -> the sound token from there on
         self.cover = -1
         self.fn = self.asyn = self.gen = False
         self.loop = self.switch = 0
@@ -63,35 +67,44 @@ class Parser:
     # ------------------------------------------------------------ tokens
 
     def scan(self) -> None:
-        text, at = self.text, self.end
-        self.last = at
-        self.broke = False
+        at = self.last = self.end
+        known = self.known.get(at)
+        if known is not None:
+            self.kind, self.val, self.start, self.end, self.broke = known
+            return
+        text = self.text
+        m = _TOKEN.match(text, at)
+        if m is None:
+            return self.no_token(at)
+        kind = self.kind = m.lastgroup
+        val = self.val = m[kind]
+        end = self.end = m.end()
+        start = self.start = end - len(val)
+        self.broke = start > at and _BREAK.search(text, at, start) is not None
+        if kind == "op":
+            if val == "/" and text.startswith("*", end):
+                return self.no_token(at)
+        elif kind == "name":
+            if not val.isascii() and "\\" not in val and not val.replace("$", "a").replace("\u200c", "").replace("\u200d", "").isidentifier():
+                raise Bad(start, "bad character in a name")
+        elif kind == "num":
+            if end < len(text) and (text[end].isalnum() or text[end] in "_$\\"):
+                raise Bad(start, "identifier directly after number")
+        elif kind == "str" and "\\" in val and self.bad_escape(val):
+            raise Bad(start, "bad escape sequence")
+        self.known[at] = kind, val, start, end, self.broke
+
+    def no_token(self, at: int) -> None:
+        """What stands where no token does: a comment without end, or a character that starts nothing."""
+        text = self.text
         m = _SKIP.match(text, at)
-        if m:
-            self.broke = _BREAK.search(text, at, m.end()) is not None
-            at = m.end()
+        self.broke = m is not None and _BREAK.search(text, at, m.end()) is not None
+        at = self.start = m.end() if m else at
         if text.startswith("/*", at):
-            self.start = self.end = at
-            self.kind, self.val = "eof", ""
-            self.end = len(text)
+            self.kind, self.val, self.end = "eof", "", len(text)
             raise Bad(at, "unterminated comment")
-        self.start = at
-        m = _TOKEN.match(text, at)
-        if m is None:
-            if at >= len(text):
-                self.kind, self.val, self.end = "eof", "", at
-                return
-            self.kind, self.val, self.end = "bad", text[at], at + 1
-            raise Bad(at, "unterminated string literal" if text[at] in "'\"" else f"unexpected character {text[at]!r}")
-        self.kind, self.val, self.end = m.lastgroup, m.group(), m.end()
-        if self.kind == "num":
-            if self.end < len(text) and (text[self.end].isalnum() or text[self.end] in "_$\\"):
-                raise Bad(at, "identifier directly after number")
-        elif self.kind == "str":
-            if "\\" in self.val and self.bad_escape(self.val):
-                raise Bad(at, "bad escape sequence")
-        elif self.kind == "name" and not self.val.isascii() and "\\" not in self.val and not self.val.replace("$", "a").replace("\u200c", "").replace("\u200d", "").isidentifier():
-            raise Bad(at, "bad character in a name")
+        self.kind, self.val, self.end = "bad", text[at], at + 1
+        raise Bad(at, "unterminated string literal" if text[at] in "'\"" else f"unexpected character {text[at]!r}")
 
     @staticmethod
     def bad_escape(text: str) -> bool:

@@ -6,7 +6,7 @@ import re
 
 from graphweave.llm.syntax import Bad, Fault, Faults
 
-#: The keywords, the binary operators with their precedence, and the assignment operators.
+#: The keywords, the binary operators with their precedence, the assignment operators and the names in __future__.
 KEYWORDS = frozenset(
     "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
 )
@@ -17,13 +17,14 @@ BINARY = {
 #: Levels: of 'not' before its operand, and above all comparisons, where targets and starred values begin.
 NOT, BITWISE = 3, 4
 AUGMENTED = frozenset("+= -= *= @= /= //= %= **= >>= <<= &= ^= |=".split())
+FUTURE = frozenset("nested_scopes generators division absolute_import with_statement print_function unicode_literals barry_as_FLUFL generator_stop annotations".split())
 PREFIXES = frozenset(("", "r", "u", "b", "f", "br", "rb", "fr", "rf"))
 
 _TOKEN = re.compile(
     r"""[\ \t\f]*(?:(?P<skip>\\\r?\n|\#[^\r\n]*)
 |(?P<nl>\r\n|\n|\r)
 |(?P<string>(?i:[rubf]|br|rb|fr|rf)?(?:'{3}|"{3}|'|"))
-|(?P<name>[^\W\d](?:\w|[^\x00-\x7f])*)
+|(?P<name>[^\W\d][\w\x80-\U0010ffff]*+)
 |(?P<num>0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+
   |(?:(?:\d(?:_?\d)*)?\.\d(?:_?\d)*|\d(?:_?\d)*\.?)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)
 |(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|==|<=|>=|<<|>>|\*\*|//|[-+*/%@&|^~<>()\[\]{},:.;=]))""",
@@ -40,6 +41,10 @@ _BAD_ESCAPE = re.compile(r"\\(?:x(?![0-9a-fA-F]{2})|u(?![0-9a-fA-F]{4})|U(?!000[
 _BAD_BYTES = re.compile(r"\\x(?![0-9a-fA-F]{2})")
 _PAIR = {")": "(", "]": "[", "}": "{"}
 
+#: What ends an expression: the kinds of token and their texts.
+_CLOSERS = frozenset(("op", "newline", "eof"))
+_AFTER = frozenset(("", ",", ")", "]", "}", ":", "=", ":="))
+
 # what an expression can be: a plain value, an assignable one, a name
 VALUE, TARGET, NAME = 0, 1, 2
 
@@ -63,7 +68,7 @@ class Lexer:
         depth: list[tuple[str, int]] = []
         fresh = True
         size = len(text)
-        match = _TOKEN.match
+        match, add = _TOKEN.match, out.append
         while True:
             if fresh and not depth:
                 fresh = False
@@ -86,6 +91,8 @@ class Lexer:
                             out.append(("dedent", "", at))
                         if col != stack[-1][0]:
                             self.faults.note(Bad(at, "unindent does not match any outer level"))
+                        elif alt != stack[-1][1]:
+                            self.faults.note(Bad(at, "inconsistent use of tabs and spaces"))
             if at >= size:
                 break
             m = match(text, at)
@@ -97,6 +104,12 @@ class Lexer:
                 continue
             kind = m.lastgroup
             start, at = m.span(kind)
+            if kind == "name":
+                value = m[kind]
+                if not value.isascii() and not value.isidentifier():
+                    self.faults.note(Bad(start, "invalid character in a name"))
+                add((kind, value, start))
+                continue
             if kind == "skip":
                 if text[start] == "\\" and at >= size:
                     self.faults.note(Bad(start, "unexpected end of file after a line continuation"))
@@ -118,9 +131,6 @@ class Lexer:
                     self.faults.note(Bad(start, "invalid number"))
                 elif len(value) > 1 and value[0] == "0" and value.replace("_", "").isdigit() and value.replace("_", "").strip("0"):
                     self.faults.note(Bad(start, "leading zeros in a number"))
-            elif kind == "name":
-                if not value.isascii() and not value.isidentifier():
-                    self.faults.note(Bad(start, "invalid character in a name"))
             elif value in "([{":
                 depth.append((value, start))
             elif value in ")]}":
@@ -131,7 +141,7 @@ class Lexer:
                 if opened[0] != _PAIR[value]:
                     self.faults.note(Bad(start, f"{value!r} does not match {opened[0]!r}"))
                     depth.clear()
-            out.append((kind, value, start))
+            add((kind, value, start))
         if depth:
             self.faults.note(Bad(depth[-1][1], f"{depth[-1][0]!r} was never closed"))
         if out and out[-1][0] not in ("newline", "indent", "dedent"):
@@ -293,11 +303,12 @@ class Parser:
         self.tokens = self.lexer.run()
         self.pos = 0
         self.kind, self.val, self.place = self.tokens[0]
-        self.fn = self.asyn = False
+        self.fn = self.asyn = self.yields = False
+        self.returned: int | None = None
         self.loop = self.inside = 0
 
     def scan(self) -> None:
-        if self.pos < len(self.tokens) - 1:
+        if self.kind != "eof":
             self.pos += 1
         self.kind, self.val, self.place = self.tokens[self.pos]
 
@@ -483,8 +494,12 @@ class Parser:
     def yield_(self) -> None:
         if not self.fn:
             raise self.fail("'yield' outside function")
+        self.yields = True
         self.scan()
-        if self.eat("from"):
+        if self.at("from"):
+            if self.asyn:
+                raise self.fail("'yield from' inside async function")
+            self.scan()
             return self.expression()
         if self.kind in ("newline", "eof") or (self.kind == "op" and self.val in (")", "]", "}", "=", ";", ":")):
             return None
@@ -505,9 +520,12 @@ class Parser:
     def s_return(self) -> None:
         if not self.fn:
             raise self.fail("'return' outside function")
+        place = self.place
         self.scan()
         if not self.ends():
             self.star_expressions(False)
+            if self.returned is None:
+                self.returned = place
 
     def s_raise(self) -> None:
         self.scan()
@@ -556,6 +574,7 @@ class Parser:
         while self.at(".") or self.at("..."):
             dots = True
             self.scan()
+        future = not dots and self.val == "__future__"
         if not (dots and self.at("import")):
             self.dotted()
         self.need("import")
@@ -565,6 +584,8 @@ class Parser:
             return
         paren = self.eat("(")
         while True:
+            if future and self.val not in FUTURE:
+                raise self.fail(f"future feature {self.val} is not defined")
             self.name()
             if self.eat("as"):
                 self.name()
@@ -690,12 +711,14 @@ class Parser:
         self.need(")")
         if self.eat("->"):
             self.expression()
-        keep = self.fn, self.asyn, self.loop
-        self.fn, self.asyn, self.loop = True, asyn, 0
+        keep = self.fn, self.asyn, self.loop, self.yields, self.returned
+        self.fn, self.asyn, self.loop, self.yields, self.returned = True, asyn, 0, False, None
         self.inside += 1
         self.block()
         self.inside -= 1
-        self.fn, self.asyn, self.loop = keep
+        if asyn and self.yields and self.returned is not None:
+            self.faults.note(Bad(self.returned, "'return' with value in async generator"))
+        self.fn, self.asyn, self.loop, self.yields, self.returned = keep
 
     def params(self, end: str, typed: bool) -> None:
         default = star = slash = kwargs = bare = False
@@ -933,7 +956,13 @@ class Parser:
         self.expression_kind()
 
     def expression_kind(self) -> int:
-        if self.at("lambda"):
+        kind, val = self.kind, self.val
+        if kind == "num" or (kind == "name" and val not in KEYWORDS):
+            after = self.tokens[self.pos + 1]
+            if after[1] in _AFTER and after[0] in _CLOSERS:  # one token that nothing follows needs no climbing
+                self.scan()
+                return NAME if kind == "name" else VALUE
+        if kind == "name" and val == "lambda":
             self.scan()
             self.params(":", False)
             self.need(":")
@@ -1102,7 +1131,7 @@ class Parser:
 
     def inner(self, tokens: list[Token]) -> None:
         """The expression of a replacement field."""
-        if len(tokens) < 2:
+        if len(tokens) < 2 or tokens[-1][0] != "eof":  # a field without end is a fault already
             return
         keep = self.tokens, self.pos
         self.tokens = tokens

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import sys
-import warnings
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -31,45 +30,15 @@ def extension(path: str | None) -> str:
     return name.rpartition(".")[2].lower() if "." in name else ""
 
 
-def _exact(text: str) -> Fault | None:
-    """What the interpreter of this very version says."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            compile(text.removeprefix("﻿"), "module", "exec", dont_inherit=True)
-    except SyntaxError as bad:
-        return Fault(bad.lineno or 1, max(0, (bad.offset or 1) - 1), bad.msg or "invalid syntax")
-    except (ValueError, MemoryError, RecursionError, OverflowError) as bad:
-        return Fault(1, 0, str(bad)[:200] or type(bad).__name__)
-    return None
-
-
 def faults(text: str, ext: str) -> list[Fault] | None:
-    """All errors of a text in the language of an extension, the first one its cause; None for other extensions.
-
-    For Python the interpreter decides whether the text is valid where it is of the version meant.
-    """
-    return judge(text, ext)[0]
-
-
-def judge(text: str, ext: str) -> tuple[list[Fault] | None, bool | None]:
-    """The faults, and whether the text is valid by the parser alone; both None for other extensions."""
+    """All errors of a text in the language of an extension, the first one its cause; None for other extensions."""
     if ext not in LANGUAGES:
-        return None, None
+        return None
     language, types, jsx = LANGUAGES[ext]
     limit = sys.getrecursionlimit()
     sys.setrecursionlimit(max(limit, 12_000))
     try:
-        if language != "python":
-            found = syntax_js.faults(text, types, jsx)
-            return found, not found
-        found = syntax_py.faults(text)
-        if sys.version_info[:2] == (3, 13):
-            said = _exact(text)
-            if said is None:
-                return [], not found
-            return found or [said], not found
-        return found, not found
+        return syntax_py.faults(text) if language == "python" else syntax_js.faults(text, types, jsx)
     finally:
         sys.setrecursionlimit(limit)
 
@@ -78,42 +47,40 @@ _FAULT = pa.struct([("line", pa.int32()), ("col", pa.int32()), ("why", pa.string
 
 
 def check_files(files: DataFrame, path: str = "file_path", content: str = "content", repo: str = "repo_path", scanned: str | None = "scanned_at") -> DataFrame:
-    """One row per file: file_path, repo_path, language, readable, valid, first_cause, n_errors, errors, parser_valid.
+    """One row per file: file_path, repo_path, language, readable, valid, first_cause, n_errors, errors.
 
     language is that of the extension in any letter case, null for others. A file with several rows
     counts once, with its last readable content; with none it isn't readable and valid is null, as
     it is for other extensions. An empty text is valid. A null path is a file of its own. A missing
     repo_path is taken from the file's other rows, else the longest repo_path of the table that is
-    a folder of the file. Extra columns are not read. parser_valid is the parser's own verdict; where it
-    isn't valid, the Python interpreter disagreed.
+    a folder of the file. Extra columns are not read.
     """
     rows = files.select(F.col(path).alias("f"), F.col(content).alias("c"), F.col(repo).alias("r"), (F.col(scanned) if scanned else F.lit(0)).alias("t"))
     stamp = rows.schema["t"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[str, bytes], tuple[list[Fault] | None, bool | None]] = {}
+        known: dict[tuple[str, bytes], list[Fault] | None] = {}
         for b in batches:
             out = []
             for f, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ext = extension(f)
                 if c is None:
-                    out.append((None, None))
+                    out.append(None)
                     continue
                 key = (ext, hashlib.blake2b(c.encode(), digest_size=16).digest())
                 if key not in known:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    known[key] = judge(c, ext)
+                    known[key] = faults(c, ext)
                 out.append(known[key])
             readable = [c.as_py() for c in b.column(1).is_valid()]
-            valid = [None if e is None else not e for e, _ in out]
-            errors = pa.array([None if e is None else [{"line": x.line, "col": x.column, "why": x.why} for x in e] for e, _ in out], pa.list_(_FAULT))
-            own = pa.array([o for _, o in out], pa.bool_())
+            valid = [None if e is None else not e for e in out]
+            errors = pa.array([None if e is None else [{"line": x.line, "col": x.column, "why": x.why} for x in e] for e in out], pa.list_(_FAULT))
             language = [LANGUAGES[x][0] if (x := extension(f)) in LANGUAGES else None for f in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(language, pa.string()), pa.array(readable), pa.array(valid, pa.bool_()), errors, own], names=["f", "r", "t", "language", "readable", "valid", "errors", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(language, pa.string()), pa.array(readable), pa.array(valid, pa.bool_()), errors], names=["f", "r", "t", "language", "readable", "valid", "errors"])
 
-    checked = rows.mapInArrow(run, f"f string, r string, t {stamp}, language string, readable boolean, valid boolean, errors array<struct<line: int, col: int, why: string>>, own boolean")
-    last = checked.groupBy("f").agg(F.max("r").alias("r"), F.max("language").alias("language"), F.max("readable").alias("readable"), F.max_by(F.struct("valid", "errors", "own"), F.struct("readable", "t")).alias("v"))
+    checked = rows.mapInArrow(run, f"f string, r string, t {stamp}, language string, readable boolean, valid boolean, errors array<struct<line: int, col: int, why: string>>")
+    last = checked.groupBy("f").agg(F.max("r").alias("r"), F.max("language").alias("language"), F.max("readable").alias("readable"), F.max_by(F.struct("valid", "errors"), F.struct("readable", "t")).alias("v"))
     folders = rows.where("r is not null").select("r").distinct()
     lost = last.where("r is null and f is not null").select("f", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("f", "/"))), lambda i: F.array_join(F.slice(F.split("f", "/"), 1, i), "/"))).alias("r"))
     found = lost.join(folders, "r").groupBy("f").agg(F.max_by("r", F.length("r")).alias("folder"))
@@ -127,7 +94,6 @@ def check_files(files: DataFrame, path: str = "file_path", content: str = "conte
         F.get("v.errors", F.lit(0))["why"].alias("first_cause"),
         F.coalesce(F.size("v.errors"), F.lit(0)).alias("n_errors"),
         F.col("v.errors").alias("errors"),
-        F.col("v.own").alias("parser_valid"),
     )
 
 

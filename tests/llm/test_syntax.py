@@ -1,3 +1,6 @@
+import random
+from pathlib import Path
+
 import pytest
 
 from graphweave.llm import syntax_js, syntax_py, validity
@@ -18,7 +21,7 @@ BAD_JSX = ["x = <div>", "x = <div></p>", "x = <div>}</div>", "x = <a b=c/>"]
 PY = [
     "", "x = 1", "def f(a, /, b, *, c=1, **k) -> int:\n    return a", "match x:\n    case {'a': [1, *_], **r} if y: pass\n    case A(b=1) | None: pass", "match = 1; match(x)", "type X[T: int] = list[T]", "f'{a !r:>{w}} {b = } {{}} {f\"{c}\"}'",
     "with (open(a) as b, c): pass", "async def f():\n    async with a: await b\n    return [x async for x in y]", "x: int = (yield_ := 3)", "try: pass\nexcept* A as e: pass", "lambda *a, k=1: a", "print(*a, **b, )", "a = b = c, *d = e", "@x.y\nclass A(B, m=C): pass", "if 1:\n\tx\n\ty", "x = '''a\nb'''", "0xFF + 1_0j + .5e3",
-    "def f(:", "x = (1", "x = )", "return 1", "if x:\npass", "  x", "f(a=1, 2)", "'abc", "'''abc", "1 = x", "f(x) = 1", "def f(a, a): pass", "a b", "x = 012", "for x in y", "class A\n  pass", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b", "f'{a'", "f'{}'", "break", "x +=", "import", "from a import", "else: pass", "if x:\n    y\n  z", "b'é'", "def f():\n    yield = 1", "del f()", "lambda a=1, b: a", "{**a, b}", "async for x in y: pass",
+    "def f(:", "x = (1", "x = )", "return 1", "if x:\npass", "  x", "f(a=1, 2)", "'abc", "'''abc", "1 = x", "f(x) = 1", "def f(a, a): pass", "a b", "x = 012", "for x in y", "class A\n  pass", "<<<<<<< HEAD\nx = 1\n=======\nx = 2\n>>>>>>> b", "f'{a'", "f'{}'", "break", "x +=", "import", "from a import", "else: pass", "if x:\n    y\n  z", "b'é'", "def f():\n    yield = 1", "del f()", "lambda a=1, b: a", "{**a, b}", "from __future__ import teleportation", "async def f():\n    yield 1\n    return 2", "async def f():\n    yield from a", "if a:\n        x\n\ty", "f'{a +'\nx", "async for x in y: pass",
 ]
 
 
@@ -78,8 +81,29 @@ def test_files_rows(spark):
     assert validity.rates(validity.check_files(df.limit(0))).count() == 0
 
 
-def test_files_say_where_the_interpreter_disagrees_with_the_parser(spark):
-    texts = {"/r/a.py": "x = 1", "/r/b.py": "x = ", "/r/c.py": "from __future__ import teleportation", "/r/d.js": "let a = ;"}
-    df = spark.createDataFrame([(p, "/r", t, 1) for p, t in texts.items()], "file_path string, repo_path string, content string, scanned_at int")
-    got = {r["file_path"]: (r["valid"], r["parser_valid"]) for r in validity.check_files(df).collect()}
-    assert got == {"/r/a.py": (True, True), "/r/b.py": (False, False), "/r/c.py": (False, True), "/r/d.js": (False, False)}
+@pytest.mark.parametrize("seed", range(3))
+def test_python_agrees_with_the_interpreter_on_damaged_texts(seed):
+    """Lines lost, cut, doubled and indented anew: the interpreter is the oracle, the parser alone the verdict."""
+    rng = random.Random(seed)
+    source = Path(syntax_py.__file__).with_name("packing.py").read_text() + Path(syntax_py.__file__).with_name("syntax.py").read_text().replace("from __future__ import annotations", "")
+    for _ in range(60):
+        lines = source.split("\n")[: rng.randrange(20, 160)]
+        at = rng.randrange(len(lines))
+        how = rng.randrange(5)
+        if how == 0:
+            del lines[at : at + rng.randrange(1, 4)]
+        elif how == 1:
+            lines[at] = lines[at][: rng.randrange(len(lines[at]) + 1)]
+        elif how == 2:
+            lines[at:at] = lines[:2]
+        elif how == 3:
+            lines[at] = rng.choice(["", " ", "\t"]) + lines[at].lstrip()
+        else:
+            lines[at] += rng.choice(["(", ")", " yield", "'", " await x", "\\", " if", "=", ":"])
+        text = "\n".join(lines)
+        try:
+            compile(text, "x", "exec", dont_inherit=True)
+            valid = True
+        except SyntaxError:
+            valid = False
+        assert (not syntax_py.faults(text)) == valid, text
