@@ -5,16 +5,18 @@ linear program over it (fewest containers such that the chosen configurations co
 count) is solved by multiplicative weights: each length has a weight, the best configuration
 under the current weights comes from a knapsack by dynamic programming, and the weights of the
 lengths it covers fall; a length that is covered leaves the program, which ends when none is left.
-Of the fractional solution each configuration gets its whole containers, and fractions carry over to
-the next one; the room it leaves is topped up, and the rest is filled with the longest that fit. The
-plan names lengths, not items; it is turned into containers by each item's rank among the items of
-its length, so items never leave the executors.
+The prices also bound the program from below, and passes with smaller steps and better prices follow
+until the cover is within a part of that bound. Of the fractional solution each configuration gets
+its whole containers, and fractions carry over to the next one; the room it leaves, and in the end
+what rounding left over, are filled by the same knapsack under the program's prices. The plan names
+lengths, not items; it is turned into containers by each item's rank among the items of its length,
+so items never leave the executors.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,32 +27,47 @@ from pyspark.sql import functions as F
 from graphweave.llm.tokens import token_counts
 from graphweave.session import cut, parallelism
 
-#: Step of the multiplicative-weights solver, how fast weights fall with the share covered, the part of a demand
-#: that counts as nothing, and the knapsack's steps along the capacity. Weights fall slowly, else configurations aren't full.
-STEP = 0.35
+#: The program is solved until its cover is within this part of the bound by its prices, or so many passes are over.
+GAP = 0.01
+PASSES = 6
+#: The first pass's step, as a part of a class's demand (each further pass halves it), how fast weights fall with the
+#: share covered, the part of a demand that counts as nothing, and the knapsack's steps along the capacity.
+STEP = 0.7
 FALL = 0.1
 OPEN = 1e-6
-#: Power of the length that prices start from.
+#: Power of the length that prices start from: long items are the hardest to place.
 LONG = 1.2
 GRID = 256
+#: Times within a pass at which the bound is taken.
+BOUNDS = 8
 
 
 @dataclass
 class Plan:
     """Container kinds: spans[length] lists (first rank, past rank, first container, items of the length in each container).
 
-    by_program, topped_up and filled are the parts of the items' length that the configurations, the
-    room they leave and the filling afterwards took.
+    cover and dual are the value of the program's fractional solution and the bound by its prices, both
+    over length classes; bound is what any packing of the items needs at least. by_program, repaired and
+    filled are the parts of the items' length in the configurations of the solution, in the room these
+    leave when they are made whole, and in configurations priced for what is left in the end.
     """
 
     capacity: int
     containers: int = 0
     spans: dict[int, list[tuple[int, int, int, int]]] = field(default_factory=dict)
     used: dict[int, int] = field(default_factory=dict)
+    cover: float = 0.0
+    dual: float = 0.0
+    bound: int = 0
+    passes: int = 0
     by_program: float = 0.0
-    topped_up: float = 0.0
+    repaired: float = 0.0
     filled: float = 0.0
 
+    @property
+    def gap(self) -> float:
+        return self.cover / self.dual - 1 if self.dual else 0.0
+
     def add(self, config: dict[int, int], times: int) -> None:
         for length, copies in config.items():
             at = self.used.get(length, 0)
@@ -89,146 +106,223 @@ def _knapsack(lengths: np.ndarray, values: np.ndarray, most: np.ndarray, capacit
     return copies
 
 
-def _classes(lengths: np.ndarray, counts: np.ndarray, capacity: int, grid: int) -> tuple[np.ndarray, np.ndarray]:
-    """Length classes for the program: lengths in steps of capacity / grid, rounded up, and each length's class."""
-    step = max(1, capacity // grid)
-    up = -(-lengths // step)
-    units, member = np.unique(up, return_inverse=True)
-    return units, member
+def _bound(units: np.ndarray, demand: np.ndarray, price: np.ndarray, room: int) -> float:
+    """What the prices prove: no configuration is worth more than the best one, so at least so many cover the demand."""
+    copies = _knapsack(units, price, np.maximum(1, np.ceil(demand)).astype(np.int64), room)
+    return float(demand @ price) / max(float(copies @ price), 1e-300)
 
 
-def _program(units: np.ndarray, demand: np.ndarray, room: int, step: float) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often each is taken, such that together they cover every class's demand, none more than once over.
+def _cover(units: np.ndarray, demand: np.ndarray, price: np.ndarray, room: int, step: float) -> tuple[list[tuple[np.ndarray, float]], float, float, np.ndarray]:
+    """(configurations and how often each is taken, their number, the best bound and its prices): one pass of multiplicative weights.
 
-    A round raises each class of its configuration by at most a step of the demand and closes it when
-    nothing is open, so there are at most about 1 / step + 1 rounds a class.
+    Together the configurations cover every class's demand, none more than once over. A round raises
+    each class of its configuration by at most a step of the demand and closes it when nothing is
+    open, so there are at most about 1 / step + 1 rounds a class.
     """
-    # prices start a little over the length, as long items are the hardest to place, and so keep configurations full
-    price = units.astype(np.float64) ** LONG
     share = np.zeros(len(units))
     chosen: dict[bytes, tuple[np.ndarray, float]] = {}
+    bound, proof, total, due = 0.0, price, 0.0, 1.0
     while True:
         here = np.flatnonzero(share < 1 - OPEN)
         if not len(here):
-            return list(chosen.values())
-        weight = np.exp(-FALL * (share[here] - share[here].min()))
+            return list(chosen.values()), total, bound, proof
+        weight = price[here] * np.exp(-FALL * (share[here] - share[here].min()))
+        if len(here) <= due * len(units):
+            now = _bound(units[here], demand[here], weight, room)
+            if now > bound:
+                bound, proof = now, np.zeros(len(units))
+                proof[here] = weight
+            due = len(here) / len(units) - 1 / BOUNDS
         copies = np.ceil((1 - share[here]) * demand[here] - OPEN).astype(np.int64)
         config = np.zeros(len(units), dtype=np.int64)
-        config[here] = _knapsack(units[here], price[here] * weight, np.maximum(copies, 1), room)
+        config[here] = _knapsack(units[here], weight, np.maximum(copies, 1), room)
         on = config > 0
         # the width of the step: until the scarcest class of the configuration gains a step of its demand or is covered
         times = float((np.minimum(step, 1 - share[on]) * demand[on] / config[on]).min())
         key = config.tobytes()
         chosen[key] = (config, chosen.get(key, (config, 0.0))[1] + times)
         share[on] += config[on] * times / demand[on]
+        total += times
+
 
+def _program(units: np.ndarray, demand: np.ndarray, room: int) -> tuple[list[tuple[np.ndarray, float]], np.ndarray, float, float, np.ndarray, int]:
+    """(configurations with their times, prices, cover, bound, prices of the bound, passes) of the configuration program, within GAP of its bound where it can be.
 
-def solve(histogram: dict[int, int], capacity: int, step: float = STEP, grid: int = GRID) -> Plan:
+    After a pass each class is priced by what it cost, its part of the containers it lies in by the
+    old prices, and the next pass takes half the step.
+    """
+    price = units.astype(np.float64) ** LONG
+    best: tuple[list, np.ndarray, float] | None = None
+    # the length itself as the price gives the bound by volume
+    proof, step, turn = units.astype(np.float64), STEP, 0
+    bound = _bound(units, demand, proof, room)
+    while True:
+        turn += 1
+        configs, total, seen, prices = _cover(units, demand, price, room, step)
+        if seen > bound:
+            bound, proof = seen, prices
+        if best is None or total < best[2]:
+            best = configs, price, total
+        if best[2] <= (1 + GAP) * bound or turn == PASSES:
+            return best[0], best[1], best[2], bound, proof, turn
+        cost = np.zeros(len(units))
+        for config, times in configs:
+            cost += config * price * (times / float(config @ price))
+        price = np.sqrt(price / float(demand @ price) * cost / demand / total)
+        step /= 2
+
+
+def solve(histogram: dict[int, int], capacity: int, grid: int = GRID) -> Plan:
     """A plan that lays every item of the histogram (length -> count, 1 <= length <= capacity)."""
     plan = Plan(capacity)
     lengths = np.array(sorted(n for n, c in histogram.items() if c > 0), dtype=np.int64)
     if not len(lengths):
         return plan
     counts = np.array([histogram[int(n)] for n in lengths], dtype=np.int64)
-    units, member = _classes(lengths, counts, capacity, grid)
-    room = capacity // max(1, capacity // grid)
+    step = max(1, capacity // grid)
+    room = capacity // step
+    # classes are the nearest steps; lengths are chosen within a class such that a container's are not over its capacity
+    units, member = np.unique(np.clip((lengths + step // 2) // step, 1, room), return_inverse=True)
     demand = np.bincount(member, weights=counts).astype(np.float64)
-    # a length just under the capacity may round up to more than the grid's room; it fills a container alone
-    units = np.minimum(units, room)
-    left = counts.copy()
-    groups = [np.flatnonzero(member == g)[::-1] for g in range(len(units))]
-    _place(plan, _program(units, demand, room, step), lengths, left, groups)
-    total = float((lengths * counts).sum())
-    plan.filled = float((lengths * left).sum()) / total
-    plan.by_program, plan.topped_up = plan.by_program / total, plan.topped_up / total
-    _fill(plan, lengths, left)
+    configs, price, plan.cover, plan.dual, proof, plan.passes = _program(units, demand, room)
+    volume = float(lengths @ counts)
+    plan.bound = int(np.ceil(max(volume / capacity, _bound(lengths, counts.astype(np.float64), proof[member], capacity)) - 1e-6))
+    packer = _Packer(plan, lengths, counts.copy(), units, member, price, step, room)
+    packer.whole(configs)
+    packer.rest()
+    plan.by_program, plan.repaired, plan.filled = plan.by_program / volume, plan.repaired / volume, plan.filled / volume
     return plan
 
 
-def _place(plan: Plan, configs: list[tuple[np.ndarray, float]], lengths: np.ndarray, left: np.ndarray, groups: list[np.ndarray]) -> None:
-    """Rounds configurations, the most frequent first, carrying fractions over; gives each real lengths, longest first, then tops it up with what fits."""
-    carry = 0.5
-    for config, times in sorted(configs, key=lambda c: -c[1]):
-        carry += times
-        todo = int(carry)
-        carry -= todo
-        while todo > 0:
-            real: dict[int, int] = {}
-            total = 0
-            all_there = True
-            for g in np.flatnonzero(config):
-                need = int(config[g])
-                for i in groups[g]:
-                    if need and left[i]:
-                        n = int(min(need, left[i]))
-                        real[int(i)] = n
-                        total += n * int(lengths[i])
-                        need -= n
-                all_there &= not need
-            if not real or total > plan.capacity:
-                break
-            if all_there:
-                total += _stretch(real, lengths, left, plan.capacity - total)
-            more = _top_up(real, lengths, left, plan.capacity - total)
-            run = min(todo, *(int(left[i]) // n for i, n in real.items()))
-            if run < 1:
+class _Packer:
+    """Turns configurations of classes into containers of lengths that are left."""
+
+    def __init__(self, plan: Plan, lengths: np.ndarray, left: np.ndarray, units: np.ndarray, member: np.ndarray, price: np.ndarray, step: int, room: int):
+        self.plan, self.left, self.units, self.price, self.step, self.room = plan, left, units, price, step, room
+        self.lengths = lengths.tolist()
+        self.member = member
+        self.groups = [np.flatnonzero(member == g).tolist() for g in range(len(units))]
+
+    def pick(self, real: dict[int, int], group: int, need: int, spare: int) -> tuple[int, int]:
+        """Adds up to so many items of a class, its longest lengths if the spare room allows, else its shortest; (items, their length)."""
+        fair = int(self.units[group]) * self.step
+        for order in (self.groups[group][::-1], self.groups[group]):
+            chosen, want, size = [], need, 0
+            for i in order:
+                n = min(want, int(self.left[i]) - real.get(i, 0))
+                if n > 0:
+                    chosen.append((i, n))
+                    size += n * self.lengths[i]
+                    want -= n
+                    if not want:
+                        break
+            if size - (need - want) * fair <= spare or order is self.groups[group]:
                 break
+        for i, n in chosen:
+            real[i] = real.get(i, 0) + n
+        return need - want, size
+
+    def real(self, config: np.ndarray, real: dict[int, int], room: int) -> int:
+        """Adds lengths for a configuration within a room; returns what they take."""
+        classes = np.flatnonzero(config)
+        spare = room - int((config * self.units).sum()) * self.step
+        total = 0
+        for g in sorted(classes.tolist(), key=lambda g: -int(self.units[g])):
+            need = int(config[g])
+            n, size = self.pick(real, g, need, spare)
+            spare += n * int(self.units[g]) * self.step - size
+            total += size
+        if total > room:  # only lengths over their class's are left: without the shortest that is enough
+            for i in sorted(real):
+                while real.get(i, 0) and total > room:
+                    real[i] -= 1
+                    total -= self.lengths[i]
+            for i in [i for i, n in real.items() if not n]:
+                del real[i]
+        return total
+
+    def top_up(self, real: dict[int, int], room: int) -> int:
+        """Adds the configuration that is worth most in the room that is left; returns what it takes."""
+        took = 0
+        if room >= self.step:
+            free = self.left.copy()
             for i, n in real.items():
-                left[i] -= n * run
-            plan.add({int(lengths[i]): n for i, n in real.items()}, run)
-            plan.by_program += total * run
-            plan.topped_up += more * run
-            todo -= run
-
-
-def _stretch(real: dict[int, int], lengths: np.ndarray, left: np.ndarray, room: int) -> int:
-    """Gives the room that the grid's rounding left to longer lengths in the places of a configuration, the longest place first; returns what they take."""
-    took = 0
-    for i in sorted(real, reverse=True):
-        n = real[i]
-        j = int(np.searchsorted(lengths, int(lengths[i]) + room // n, side="right")) - 1
-        while j > i and left[j] - real.get(j, 0) < n:
-            j -= 1
-        if j > i:
-            del real[i]
-            real[j] = real.get(j, 0) + n
-            room -= n * int(lengths[j] - lengths[i])
-            took += n * int(lengths[j] - lengths[i])
-    return took
-
-
-def _top_up(real: dict[int, int], lengths: np.ndarray, left: np.ndarray, room: int) -> int:
-    """Adds the longest lengths that still fit; returns what they take."""
-    took = 0
-    there = np.flatnonzero(left[: int(np.searchsorted(lengths, room, side="right"))])
-    sizes = lengths[there].tolist()
-    end = len(sizes)
-    while end > 0 and room > 0:
-        end = bisect.bisect_right(sizes, room, 0, end) - 1
-        if end < 0:
-            break
-        at = int(there[end])
-        n = min(int(left[at]) - real.get(at, 0), room // sizes[end])
-        if n > 0:
-            real[at] = real.get(at, 0) + n
-            room -= n * sizes[end]
-            took += n * sizes[end]
-    return took
-
-
-def _fill(plan: Plan, lengths: np.ndarray, left: np.ndarray) -> None:
-    """What rounding left: each container takes the longest length left and then the longest that fit, repeated while it can."""
-    left = left.copy()
-    while True:
-        there = np.flatnonzero(left)
-        if not len(there):
-            return
-        real = {int(there[-1]): 1}
-        _top_up(real, lengths, left, plan.capacity - int(lengths[there[-1]]))
-        run = min(int(left[i]) // n for i, n in real.items())
+                free[i] -= n
+            most = np.bincount(self.member, weights=free, minlength=len(self.units)).astype(np.int64)
+            few = room // self.step
+            fit = np.flatnonzero((most > 0) & (self.units <= few))
+            if len(fit):
+                config = np.zeros(len(self.units), dtype=np.int64)
+                config[fit] = _knapsack(self.units[fit], self.price[fit], most[fit], few)
+                more: dict[int, int] = {}
+                before = self.left
+                self.left = free
+                took = self.real(config, more, room)
+                self.left = before
+                for i, n in more.items():
+                    real[i] = real.get(i, 0) + n
+        return took + self.stretch(real, room - took)
+
+    def stretch(self, real: dict[int, int], room: int) -> int:
+        """Under a step of room: an item more, or one for a longer one, whichever leaves least; returns what they take."""
+        took = 0
+        while room > 0:
+            best, swap = 0, (-1, -1)
+            for i in (-1, *real):
+                size = self.lengths[i] if i >= 0 else 0
+                j = bisect.bisect_right(self.lengths, size + room) - 1
+                while j >= 0 and self.lengths[j] - size > best:
+                    if self.left[j] > real.get(j, 0):
+                        best, swap = self.lengths[j] - size, (i, j)
+                        break
+                    j -= 1
+                if best == room:
+                    break
+            if not best:
+                return took
+            i, j = swap
+            real[j] = real.get(j, 0) + 1
+            if i >= 0:
+                real[i] -= 1
+                if not real[i]:
+                    del real[i]
+            room -= best
+            took += best
+        return took
+
+    def put(self, real: dict[int, int], most: int) -> int:
+        """Fills so many containers alike, or as many as the lengths allow; returns how many."""
+        run = min(most, *(int(self.left[i]) // n for i, n in real.items()))
         for i, n in real.items():
-            left[i] -= n * run
-        plan.add({int(lengths[i]): n for i, n in real.items()}, run)
+            self.left[i] -= n * run
+        self.plan.add({self.lengths[i]: n for i, n in real.items()}, run)
+        return run
+
+    def whole(self, configs: list[tuple[np.ndarray, float]]) -> None:
+        """Rounds the configurations, the most frequent first, carrying fractions over; what one leaves free is priced anew."""
+        carry = 0.5
+        for config, times in sorted(configs, key=lambda c: -c[1]):
+            carry += times
+            todo = int(carry)
+            carry -= todo
+            while todo > 0:
+                real: dict[int, int] = {}
+                total = self.real(config, real, self.plan.capacity)
+                if not real:
+                    break
+                more = self.top_up(real, self.plan.capacity - total)
+                run = self.put(real, todo)
+                self.plan.by_program += total * run
+                self.plan.repaired += more * run
+                todo -= run
+
+    def rest(self) -> None:
+        """What rounding left: each container takes the configuration worth most of what is still there."""
+        while self.left.any():
+            real: dict[int, int] = {}
+            total = self.top_up(real, self.plan.capacity)
+            run = self.put(real, int(self.left.sum()))
+            self.plan.filled += total * run
 
 
 def pieces(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens") -> DataFrame:
@@ -247,80 +341,80 @@ def pack(sizes: DataFrame, capacities: dict[int, int], key: str = "doc_id", size
     container is null. A capacity below 1 is refused. Repeated keys are items of their own; no
     items give no rows.
 
-    Nothing but histograms (at most capacity entries each) and plans reaches the driver.
+    Nothing but histograms (lengths modulo a capacity, at most capacity entries a partition) and plans
+    reaches the driver, and one pass over the items places each for all capacities.
     """
     if any(c is None or c < 1 for c in capacities.values()):
         raise ValueError("a capacity must be at least 1")
     spark = sizes.sparkSession
+    kind = sizes.schema[key].dataType.simpleString()
+    schema = f"b int, k {kind}, piece int, start int, length int, container long"
+    if not capacities:
+        return spark.createDataFrame([], schema).withColumnsRenamed({"b": budget, "k": key})
     # cut here, else finding the bounds of the ranges would size every item a second time
     clean = cut(sizes.select(F.col(key), F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("int").alias(size)))
     # items in order of size, so that a partition holds few lengths and ranks come from counts of partitions
     ordered = cut(clean.repartitionByRange(parallelism(spark), size, key).select(F.spark_partition_id().alias("part"), key, size))
-    counted = ordered.groupBy("part", size).agg(F.count(F.lit(1)).alias("n")).orderBy("part", size).collect()
-    return _union([_assign(ordered, counted, b, c, key, size, budget) for b, c in sorted(capacities.items())], ordered, key, budget)
-
-
-def _union(frames: list[DataFrame], like: DataFrame, key: str, budget: str) -> DataFrame:
-    if not frames:
-        return like.select(F.lit(0).alias(budget), key, F.lit(0).alias("piece"), F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("container")).where("false")
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _assign(ordered: DataFrame, counted: list, budget_id: int, capacity: int, key: str, size: str, budget: str) -> DataFrame:
-    histogram: dict[int, int] = {}
-    first: dict[tuple[int, int], int] = {}  # (partition, length) -> rank of its first item
-    full: dict[int, int] = {}  # partition -> rank of its first whole-capacity part
-    for part, n, many in counted:
-        if n > capacity:
-            full.setdefault(part, histogram.get(capacity, 0))
-            histogram[capacity] = histogram.get(capacity, 0) + many * (n // capacity)
-            n = n % capacity
-        elif n == capacity:
-            full.setdefault(part, histogram.get(capacity, 0))
-            histogram[capacity] = histogram.get(capacity, 0) + many
-            n = 0
-        if n > 0:
-            first.setdefault((part, n), histogram.get(n, 0))
-            histogram[n] = histogram.get(n, 0) + many
-    plan = solve(histogram, capacity)
-    sent = ordered.sparkSession.sparkContext.broadcast((plan.spans, first, full))
-    kind = ordered.schema[key].dataType.simpleString()
+    asked = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).alias("c")) for b, c in sorted(capacities.items())]))
+    each = ordered.where(F.col(size) > 0).select("part", size, asked.alias("s")).select("s.b", "part", (F.col(size) % F.col("s.c")).alias("rest"), F.expr(f"{size} div s.c").alias("whole"))
+    counted = each.groupBy("b", "part", "rest").agg(F.count(F.lit(1)).alias("n"), F.sum("whole").alias("whole")).orderBy("b", "part", "rest").collect()
+    places = [_Places(b, c, [r[1:] for r in counted if r[0] == b]) for b, c in sorted(capacities.items())]
+    sent = spark.sparkContext.broadcast(places)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans, first, full = sent.value
-        firsts = {n: [s[0] for s in of] for n, of in spans.items()}
-        next_rank: dict[int, int] = {}
+        takers = [p.taker() for p in sent.value]
+        for batch in batches:
+            parts, lengths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for p, take in zip(sent.value, takers, strict=True):
+                rows, piece, start, length, container = [], [], [], [], []
+                for row, n in enumerate(lengths):
+                    for k in range(max(1, -(-n // p.capacity))):
+                        here = min(p.capacity, n - k * p.capacity)
+                        rows.append(row)
+                        piece.append(k)
+                        start.append(k * p.capacity)
+                        length.append(here)
+                        container.append(take(parts[row], here) if here else None)
+                keys = batch.column(1).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p.budget] * len(rows), pa.int32()), keys, *(pa.array(c, pa.int32()) for c in (piece, start, length)), pa.array(container, pa.int64())],
+                    names=["b", "k", "piece", "start", "length", "container"],
+                )
+
+    return ordered.select("part", key, size).mapInArrow(run, schema).withColumnsRenamed({"b": budget, "k": key})
+
+
+class _Places:
+    """Where the items of each partition begin among the items of their length, and the plan that ranks are looked up in."""
+
+    def __init__(self, budget: int, capacity: int, counted: list):
+        """counted: (partition, length modulo the capacity, items, whole capacities in them) in order."""
+        self.budget, self.capacity = budget, capacity
+        histogram: dict[int, int] = {}
+        self.first: dict[tuple[int, int], int] = {}  # (partition, length) -> rank of its first item
+        for part, rest, items, whole in counted:
+            if whole:
+                self.first.setdefault((part, capacity), histogram.get(capacity, 0))
+                histogram[capacity] = histogram.get(capacity, 0) + whole
+            if rest:
+                self.first[part, rest] = histogram.get(rest, 0)
+                histogram[rest] = histogram.get(rest, 0) + items
+        self.spans = solve(histogram, capacity).spans
+
+    def taker(self) -> Callable[[int, int], int]:
+        """The container of the next item of a partition and length."""
+        starts = {n: [s[0] for s in of] for n, of in self.spans.items()}
+        ranks: dict[tuple[int, int], int] = {}
 
         def take(part: int, length: int) -> int:
-            if length not in next_rank:
-                next_rank[length] = full[part] if length == capacity else first[part, length]
-            rank = next_rank[length]
-            next_rank[length] = rank + 1
-            lo, _, container, copies = spans[length][bisect.bisect_right(firsts[length], rank) - 1]
+            rank = ranks.get((part, length))
+            if rank is None:
+                rank = self.first[part, length]
+            ranks[part, length] = rank + 1
+            lo, _, container, copies = self.spans[length][bisect.bisect_right(starts[length], rank) - 1]
             return container + (rank - lo) // copies
 
-        for batch in batches:
-            rows, piece, start, length, container = [], [], [], [], []
-            parts = batch.column(0).to_pylist()
-            for row, n in enumerate(batch.column(2).to_pylist()):
-                for k in range(max(1, -(-n // capacity))):
-                    here = min(capacity, n - k * capacity)
-                    rows.append(row)
-                    piece.append(k)
-                    start.append(k * capacity)
-                    length.append(here)
-                    container.append(take(parts[row], here) if here else None)
-            keys = batch.column(1).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([budget_id] * len(rows), pa.int32()), keys, *(pa.array(c, pa.int32()) for c in (piece, start, length)), pa.array(container, pa.int64())],
-                names=["b", "k", "piece", "start", "length", "container"],
-            )
-
-    out = ordered.select("part", key, size).mapInArrow(run, f"b int, k {kind}, piece int, start int, length int, container long")
-    return out.withColumnRenamed("b", budget).withColumnRenamed("k", key)
+        return take
 
 
 def pack_documents(docs: DataFrame, budgets: DataFrame, folder: str | None = None) -> DataFrame:

@@ -69,7 +69,47 @@ def test_program_covers_heavy_lengths_beside_a_long_tail():
     plan = packing.solve(histogram, 400)
     assert plan.used == histogram
     assert plan.containers <= 1.01 * sum(n * c for n, c in histogram.items()) / 400
-    assert plan.by_program >= 0.95 and plan.by_program + plan.topped_up + plan.filled == pytest.approx(1)
+    assert plan.by_program >= 0.95 and plan.by_program + plan.repaired + plan.filled == pytest.approx(1)
+
+
+def longest_first(histogram, capacity):
+    """Containers that hold the longest item left and then the longest that fit."""
+    left, many = dict(histogram), 0
+    while any(left.values()):
+        room = capacity
+        many += 1
+        for n in sorted(left, reverse=True):
+            take = min(left[n], room // n)
+            left[n] -= take
+            room -= take * n
+    return many
+
+
+@pytest.mark.parametrize("capacity", [400, 1024, 2048, 8192])
+def test_the_program_lays_nearly_all_and_proves_its_bound(capacity):
+    rng = random.Random(capacity)
+    histogram: dict[int, int] = {}
+    for _ in range(20_000):
+        n = min(capacity, max(1, int(rng.lognormvariate(5.3, 1.1))))
+        histogram[n] = histogram.get(n, 0) + 1
+    plan = packing.solve(histogram, capacity)
+    assert plan.used == histogram and plan.by_program >= 0.9
+    assert plan.gap <= packing.GAP
+    assert plan.bound <= plan.containers <= 1.005 * plan.bound + 1
+
+
+def test_where_longest_first_wastes_room_the_program_does_not():
+    histogram = {176: 300, 112: 600}
+    plan = packing.solve(histogram, 400)
+    assert longest_first(histogram, 400) >= 340
+    assert plan.containers == plan.bound == 300 and plan.gap <= packing.GAP and plan.by_program == pytest.approx(1)
+
+
+def test_prices_bound_what_volume_does_not():
+    # each long item needs a container of its own, whatever the short ones fill
+    plan = packing.solve({60: 100, 30: 10}, 100)
+    assert plan.containers == plan.bound == 100
+    assert packing.solve({}, 10).containers == 0
 
 
 def test_packing_rows(spark):
