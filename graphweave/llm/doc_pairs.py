@@ -1,9 +1,11 @@
 """Functions and methods with their code and the documentation that belongs to them.
 
-Where a symbol carries no documentation, its file may: the string at the head of the body, or the
-comment right above the function and its decorators. The candidates of a file and its undocumented
-functions form a bipartite graph, with links scored by distance, indentation, parameter tags and
-names. The assignment of highest score gives each comment to at most one function; links whose
+Where a symbol carries no documentation, its file may. Candidates of a function are the string at
+the head of its body and all comment blocks near it: above it, with or without a gap or other code
+between, behind its head and at the top of its body. Comments and undocumented functions of a file
+form a bipartite graph, with links scored by distance, indentation, the code between, parameter tags
+and names; tags that name other parameters count against a link. The assignment of highest total
+score gives each comment to at most one function and each function at most one comment; links whose
 score is implausible are rejected, and so are descriptions that say nothing.
 """
 
@@ -11,6 +13,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,13 +26,28 @@ from graphweave.llm.validity import extension
 
 #: Links below this score are implausible.
 LEAST_SCORE = 2.0
+#: Lines above a function, and within its body, in which a comment can still reach that score.
+ABOVE, WITHIN = 6, 3
+#: What a link starts from by the comment's place, and what each line of distance, other indentation and code between cost.
+PLACE = {"head": 3.5, "above": 3.5, "within": 1.4}
+GAP, INDENT, CODE = 1.6, 1.6, 0.6
+#: What parameter tags are worth if all are the function's, and cost if none is; the function's name, or another one's, in the text.
+TAGS, OTHER_TAGS, NAMED, OTHER_NAMED = 1.8, 1.0, 1.0, 0.8
+#: What says something goes before what doesn't.
+SAYS = 1.0
 
 _PY_SIGNATURE = re.compile(r"""[rRbBuUfF]{0,2}(?:'''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")|\#[^\n]*|[()\[\]{}:]""", re.S)
 _PY_GAP = re.compile(r"(?:[ \t\f]|\\\n|\#[^\n]*|\n)*")
+_PY_BLANK = re.compile(r"[ \t]*")
 _PY_STRING = re.compile(r"""([rRuU]?)('''(?:[^\\]|\\.)*?'''|\"\"\"(?:[^\\]|\\.)*?\"\"\"|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*")""", re.S)
 _TAG_LINE = re.compile(r"@param\s+(?:\{[^}]*\}+\s*)?\[?([A-Za-z_$][\w$]*)|:param\s+(?:\w+\s+)?([A-Za-z_]\w*)\s*:")
 
 
+#: Names that aren't plain words, so that a text means the function by them.
+_CODE_NAME = re.compile(r"_|[a-z][A-Z]|\d")
+_IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*")
+
+
 @dataclass
 class Site:
     """Where a function is defined: its line, the first line of it and its decorators, and its indent."""
@@ -42,7 +60,7 @@ class Site:
 
 @dataclass
 class Comment:
-    """A candidate: text, first and last line, indent, and whether it is the head of the body of a line's function."""
+    """A candidate: text, first and last line, indent, and the line of the function whose body it heads."""
 
     text: str
     first: int
@@ -133,8 +151,8 @@ def _head_string(text: str, at: int) -> str | None:
     m2 = _PY_STRING.match(text, _PY_GAP.match(text, m.end()).end())
     if m2 is None:
         return None
-    after = text[m2.end() : m2.end() + 40].lstrip(" \t")
-    if after and after[0] not in "\n;#\"'":
+    after = _PY_BLANK.match(text, m2.end()).end()
+    if after < len(text) and text[after] not in "\n;#\"'":
         return None
     if "r" in m2.group(1).lower() or "\\" not in m2.group(2):
         body = m2.group(2)
@@ -145,56 +163,56 @@ def _head_string(text: str, at: int) -> str | None:
         return m2.group(2).strip("\"'")
 
 
-def _comment_above(lines: list[str], top: int, python: bool) -> Comment | None:
-    """The comment block that ends at most one line above a line."""
-    at = top - 1
-    gap = 0
-    while at >= 0 and not lines[at].strip() and gap < 1:
-        at -= 1
-        gap += 1
-    if at < 0:
-        return None
+def comments_of(lines: list[str], python: bool) -> list[Comment]:
+    """All comment blocks of a file that stand on lines of their own, in order: runs of line comments of one indent, and block comments."""
     mark = "#" if python else "//"
-    line = lines[at].strip()
-    if line.startswith(mark):
-        first, indent = at, _indent(lines[at])
-        while first > 0 and lines[first - 1].lstrip().startswith(mark) and _indent(lines[first - 1]) == indent:
-            first -= 1
-        body = [x.strip().lstrip("#" if python else "/!") for x in lines[first : at + 1]]
-        if python and first == 0 and lines[0].startswith("#!"):
-            body = body[1:]
-        return Comment("\n".join(b[1:] if b.startswith(" ") else b for b in body), first, at, indent)
-    if not python and line.endswith("*/"):
-        first = at
-        while first >= 0 and "/*" not in lines[first]:
-            first -= 1
-        if first < 0 or not lines[first].lstrip().startswith("/*"):
-            return None
-        raw = "\n".join(lines[first : at + 1]).strip()
-        raw = re.sub(r"^/\*+!?|\*+/$", "", raw)
-        return Comment("\n".join(re.sub(r"^\s*\*+ ?", "", x) if x.lstrip().startswith("*") else x for x in raw.split("\n")).strip(), first, at, _indent(lines[first]))
-    return None
-
-
-def _score(comment: Comment, site: Site, function: dict) -> float:
-    """How well a comment fits a function: nearness first, then parameter tags and names."""
+    out: list[Comment] = []
+    at, size = 0, len(lines)
+    while at < size:
+        bare = lines[at].lstrip()
+        if bare.startswith(mark):
+            first, indent = at, _indent(lines[at])
+            while at + 1 < size and lines[at + 1].lstrip().startswith(mark) and _indent(lines[at + 1]) == indent:
+                at += 1
+            body = [x.strip().lstrip("#" if python else "/!") for x in lines[first : at + 1]]
+            if python and first == 0 and lines[0].startswith("#!"):
+                body = body[1:]
+            out.append(Comment("\n".join(b[1:] if b.startswith(" ") else b for b in body), first, at, indent))
+        elif not python and bare.startswith("/*"):
+            first = at
+            while at < size and "*/" not in lines[at]:
+                at += 1
+            if at < size and lines[at].rstrip().endswith("*/"):
+                raw = re.sub(r"^/\*+!?|\*+/$", "", "\n".join(lines[first : at + 1]).strip())
+                text = "\n".join(re.sub(r"^\s*\*+ ?", "", x) if x.lstrip().startswith("*") else x for x in raw.split("\n")).strip()
+                out.append(Comment(text, first, at, _indent(lines[first])))
+        at += 1
+    return out
+
+
+def _score(comment: Comment, site: Site, function: dict, lines: list[str], names: set[str]) -> float:
+    """How well a comment fits a function: place and distance, then parameter tags and names. names: of the file's other functions."""
     if comment.head_of >= 0:
         if comment.head_of != site.line:
             return -1.0
-        score = 3.5
-    else:
+        score = PLACE["head"]
+    elif comment.last < site.top:
         gap = site.top - 1 - comment.last
-        if gap < 0:
-            return -1.0
-        score = 3.0 - 2.0 * gap - (2.0 if comment.indent != site.indent else 0.0)
-    signature = function["signature"] or ""
-    tags = [a or b for a, b in _TAG_LINE.findall(comment.text)]
-    if tags and signature:
-        known = set(re.findall(r"[A-Za-z_$][\w$]*", signature.partition("(")[2]))
-        score += 0.5 if any(t in known for t in tags) else -0.5
-    if function["name"] and re.search(rf"\b{re.escape(function['name'])}\b", comment.text):
-        score += 0.25
-    return score + (0.2 if comment.text.strip() else -2.0)
+        code = sum(1 for x in lines[comment.last + 1 : site.top] if x.strip() and not x.lstrip().startswith(("#", "//", "*", "/*")))
+        score = PLACE["above"] - GAP * gap - CODE * code - (INDENT if comment.indent != site.indent else 0.0)
+    else:
+        score = PLACE["within"] - 0.3 * (comment.first - site.line - 1)
+    tags = {a or b for a, b in _TAG_LINE.findall(comment.text)}
+    if tags and function["signature"]:
+        known = set(_IDENTIFIER.findall(function["signature"].partition("(")[2]))
+        share = len(tags & known) / len(tags)
+        score += TAGS * share if share else -OTHER_TAGS
+    words = set(_IDENTIFIER.findall(comment.text))
+    if function["name"] in words:
+        score += NAMED
+    elif words & names:
+        score -= OTHER_NAMED
+    return score if comment.text.strip() else -1.0
 
 
 def assign(scores: dict[tuple[int, int], float]) -> dict[int, int]:
@@ -250,30 +268,23 @@ def match_file(text: str, path: str, functions: list[dict]) -> list[tuple[str |
         starts.append(starts[-1] + len(x) + 1)
     python = extension(path) in ("py", "pyi")
     placed = _place(functions, text, lines, starts, python)
-    comments: list[Comment] = []
-    seen: dict[tuple[int, int], int] = {}
+    bare = {i: site for i, site in placed.items() if not (functions[i]["docstring"] or "").strip()}
+    comments = comments_of(lines, python) if bare else []
+    ends = [c.last for c in comments]
+    names = {f["name"] for f in functions if f["name"] and _CODE_NAME.search(f["name"])}
     scores: dict[tuple[int, int], float] = {}
-    for i, site in placed.items():
-        if (functions[i]["docstring"] or "").strip():
-            continue
-        near: list[int] = []
-        above = _comment_above(lines, site.top, python)
-        if above:
-            key = (above.first, above.last)
-            if key not in seen:
-                seen[key] = len(comments)
-                comments.append(above)
-            near.append(seen[key])
+    for i, site in bare.items():
+        near = list(range(bisect_left(ends, site.top - ABOVE), bisect_left(ends, site.line + WITHIN + 1)))
         if python:
             head = _head_string(text, site.at)
             if head is not None and head.strip():
                 near.append(len(comments))
                 comments.append(Comment(head, site.line, site.line, site.indent, head_of=site.line))
+        f = functions[i]
         for c in near:
-            score = _score(comments[c], site, functions[i])
+            score = _score(comments[c], site, f, lines, names - {f["name"]})
             if score >= LEAST_SCORE:
-                # what says nothing gives way to what does
-                scores[i, c] = score + (1.0 if informative(comments[c].text, functions[i]["name"], functions[i]["signature"]) else 0.0)
+                scores[i, c] = score + (SAYS if informative(comments[c].text, f["name"], f["signature"]) else 0.0)
     chosen = assign(scores)
     out = []
     for i, f in enumerate(functions):
@@ -283,10 +294,17 @@ def match_file(text: str, path: str, functions: list[dict]) -> list[tuple[str |
             n = max(1, (f["end_line"] or 0) - (f["start_line"] or 0) + 1)
             code = "\n".join(lines[site.top : site.line + n])
         c = comments[chosen[i]] if i in chosen else None
-        out.append((c.text if c else None, ("head" if c.head_of >= 0 else "comment") if c else None, code))
+        out.append((c.text if c else None, _origin(c, site) if c else None, code))
     return out
 
 
+def _origin(comment: Comment, site: Site) -> str:
+    """head: the string at the head of the body, comment: directly above the function and its decorators, near: elsewhere near it."""
+    if comment.head_of >= 0:
+        return "head"
+    return "comment" if comment.last == site.top - 1 and comment.indent == site.indent else "near"
+
+
 _NODE = ["id", "name", "signature", "docstring", "source_snippet", "file_path", "start_line", "end_line"]
 
 
@@ -338,20 +356,24 @@ _BLANK = "docstring is null or trim(regexp_replace(docstring, '\\\\s+', ' ')) =
 
 
 def documented(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """(id) of the functions and methods whose documentation says something; files are read only for those without a docstring."""
+    """(id) of the functions and methods whose documentation says something; files are read only for those without a docstring.
+
+    Of the links that the assignment makes, those count whose comment is the head of the body or stands directly above.
+    """
     rows = _latest(nodes)
     own = _judge(rows.where(f"not ({_BLANK})").select("id", "name", "signature", "docstring")).select("id")
     # a function with a docstring only takes its place in the file
     bare = F.expr(_BLANK)
     placed = rows.withColumns({"signature": F.when(bare, F.col("signature")), "docstring": F.when(~bare, F.lit("-")), "source_snippet": F.lit(None).cast("string")})
-    found = _with_files(placed, files, bare_only=True).where("found is not null").select("id", "name", "signature", F.col("found").alias("docstring"))
+    found = _with_files(placed, files, bare_only=True).where("kind in ('head', 'comment')").select("id", "name", "signature", F.col("found").alias("docstring"))
     return own.unionByName(_judge(found).select("id"))
 
 
 def pairs(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """id, name, file_path, signature, code, code_from, documentation, documentation_from; informative ones only.
 
-    Documentation is the docstring, else what the file holds. Code is the function's text in its
+    Documentation is the docstring, else what the file holds: documentation_from is docstring, head,
+    comment (directly above) or near (linked by tags or names from further away). Code is the function's text in its
     file where it is found there, else its snippet, else null. Of rows with one id the newest
     counts; rows of other types or without id are left out; extra columns are not read.
     """

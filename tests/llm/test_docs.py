@@ -75,6 +75,39 @@ def test_file_documentation_is_found():
     assert [g[0] for g in got] == ["Blocks for long.", "Order is lost.\nTwice."]
 
 
+def linked(text, path, functions):
+    return [(g[0] and g[0].split("\n")[0], g[1]) for g in doc_pairs.match_file(text, path, functions)]
+
+
+def test_tags_outweigh_place_where_two_functions_compete():
+    # the comment stands right above f, but speaks of the parameters of g
+    text = "// @param left never empty\n// @param right may be null\nconst f = x => 1;\nconst g = (left, right) => left;\n"
+    g = dict(fn(1, "g", 4), signature="g(left, right)")
+    assert linked(text, "a.js", [fn(0, "f", 3), g]) == [(None, None), ("@param left never empty", "near")]
+    # with nobody else to claim it, place keeps it
+    assert linked(text, "a.js", [fn(0, "f", 3)]) == [("@param left never empty", "comment")]
+
+
+def test_the_assignment_beats_the_best_link_first():
+    # loadPage fits the second comment best, but the best total leaves that to savePage, which fits no other
+    text = "// loadPage keeps the order.\n/* loadPage and savePage share a lock. */\nfunction loadPage(x) {}\nfunction savePage(x) {}\n"
+    got = linked(text, "a.js", [fn(0, "loadPage", 3), fn(1, "savePage", 4)])
+    assert got == [("loadPage keeps the order.", "near"), ("loadPage and savePage share a lock.", "near")]
+    assert linked(text, "a.js", [fn(0, "loadPage", 3)]) == [("loadPage and savePage share a lock.", "comment")]
+
+
+def test_a_name_reaches_over_a_blank_line_and_a_stranger_does_not():
+    assert linked("# read_all blocks for long.\n\ndef read_all(x): pass\n", "a.py", [fn(0, "read_all", 3)]) == [("read_all blocks for long.", "near")]
+    assert linked("# Part two of the module.\n\ndef read_all(x): pass\n", "a.py", [fn(0, "read_all", 3)]) == [(None, None)]
+    text = "# read_all blocks for long.\n\n\n\n\n\n\n\ndef read_all(x): pass\n"
+    assert linked(text, "a.py", [fn(0, "read_all", 9)]) == [(None, None)]
+
+
+def test_within_the_body_only_with_evidence():
+    text = "def read_all(x):\n    # read_all blocks for long.\n    return x\n\ndef b(x):\n    # a step\n    return x\n"
+    assert linked(text, "a.py", [fn(0, "read_all", 1), fn(1, "b", 5)]) == [("read_all blocks for long.", "near"), (None, None)]
+
+
 def test_tables(spark):
     node = "id string, type string, name string, qualified_name string, file_path string, start_line int, end_line int, signature string, docstring string, source_snippet string, updated_at int, found string"
     rows = [
