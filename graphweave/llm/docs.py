@@ -14,8 +14,10 @@ TYPES = frozenset(
     "any string strings number numbers void none null nil undefined unknown int integer float double bool boolean str list array dict dictionary"
     " object objects promise map record tuple optional union self cls true false bytes never type types value values param params parameter parameters argument arguments arg args kwargs result results".split()
 )
+# what follows in the same clause, however long: up to a comma or the sentence's end
+_REST_OF = r"(?:[^.!?;,]|[.,](?=\S))*"
 PLACEHOLDER = re.compile(
-    r"""(?ix)^\W*(?:
+    rf"""(?ix)^\W*(?:
       (?:todo|fixme|xxx|hack|tbd|tba|wip|n/?a|none|null|nil|empty|blank|docstring|doc|docs|documentation|description|summary|comment|placeholder|stub|untitled|lorem\ ipsum.*)
       |(?:todo|fixme|xxx|tbd)\b\W*(?:add|write|fill|complete|document|describe|explain|update|improve|missing)?\W*(?:(?:the|a|some|this|me|it|in|here|later|soon|docs?|docstrings?|documentation|description|comments?|function|method|missing)\W*)*
       |(?:(?:to\ be|not\ yet|needs?\ to\ be|still|please)\W+)?(?:add|write|insert|fill\ in|put|provide)\W+(?:(?:a|an|the|your|some|proper|real|better)\W+)*(?:docs?|docstring|documentation|description|comment|text|summary)s?(?:\W+(?:here|later|soon|now))?
@@ -23,22 +25,22 @@ PLACEHOLDER = re.compile(
       |(?:no|missing|without)\W+(?:docs?|docstring|documentation|description|comment)s?(?:\W+(?:yet|available|here|given|provided))*
       |(?:un|not\ )documented|documentation\W+(?:pending|missing|to\ follow|follows)|coming\ soon|work\ in\ progress
       |(?:auto|automatically|machine|tool)?\W*generated\b(?:\W+(?:by\W+\w+|method|function|stub|code|docs?|docstring|documentation|comment|file|class|constructor|catch|block|javadoc))*
-      |auto\W*generated\W+.{0,30}
+      |auto\W*generated\W+{_REST_OF}
       |(?:noch\ (?:zu\ dokumentieren|nicht\ dokumentiert|offen|undokumentiert)|(?:zu|muss\ noch)\ dokument\w+(?:\ werden)?|dokumentation\ (?:fehlt|folgt)|(?:noch\ )?keine\ (?:beschreibung|dokumentation)(?:\ vorhanden)?|beschreibung\ (?:fehlt|folgt)|hier\ beschreibung\ (?:einfügen|ergänzen))
       |(?:pendiente(?:\ de\ documentar)?|por\ documentar|falta\ (?:la\ )?(?:documentación|descripción|documentar)|sin\ (?:documentar|documentación|descripción)|(?:añadir|agregar|escribir)\ (?:la\ )?(?:descripción|documentación)(?:\ aquí)?)
       |(?:à\ (?:documenter|compléter)|a\ documenter|documentation\ à\ venir|da\ documentare|待补充|待完善|待编写|暂无(?:说明|描述|文档)?|未记录|無し|なし|未記載|後で書く|要ドキュメント|без\ описания|описание\ отсутствует|нужно\ описать|документировать)
     )\W*$"""
 )
 POINTER = re.compile(
-    r"""(?ix)^\W*(?:
-      (?:(?:please|for\ (?:details|documentation|more|docs|information))\W+)?(?:see|refer\ to|cf\.?|compare|check|consult)\b(?:\W+(?:also|the))*\W+.{0,80}
-      |(?:same|just|exactly)\W+(?:as|like)\b.{0,60}|as\W+(?:above|below|before|in\b.{0,40})|(?:dito|ditto|idem|likewise|same)
-      |(?:docs?|docstring|documentation|description|behaviou?r)?\W*(?:is\W+)?(?:inherited|inherits)(?:\W+(?:from|by|docs?|docstring|documentation)\b.{0,40})?
-      |inherit\W*docs?|(?:overrides?|overridden|implements|extends)\b(?:\W+(?:of|from|by|in|the|base|parent|super|interface|class|method|docs?|\{?@?\w+[.\#]?\w*\}?))*
-      |(?:described|documented|explained|defined)\W+(?:above|below|elsewhere|in\b.{0,50})
-      |(?:siehe|wie|vgl\.?|s\.)\W+(?:oben|unten|dort|.{0,40}(?:klasse|methode|doku\w*|basis\w*|eltern\w*))|geerbt(?:\W+von\b.{0,40})?
-      |(?:véase|ver|igual\ que|como)\W+(?:arriba|abajo|más\W+arriba|.{0,40}(?:clase|padre|método|base|documentación))|heredad[oa](?:\W+de\b.{0,40})?
-      |(?:同上|参见.{0,30}|见上文?|見よ|上記参照|см\.?\W.{0,30})
+    rf"""(?ix)^\W*(?:
+      (?:(?:please|for\ (?:details|documentation|more|docs|information))\W+)?(?:see|refer\ to|cf\.?|compare|check|consult)\b(?:\W+(?:also|the))*\W+{_REST_OF}
+      |(?:same|just|exactly)\W+(?:as|like)\b{_REST_OF}|as\W+(?:above|below|before|in\b{_REST_OF})|(?:dito|ditto|idem|likewise|same)
+      |(?:docs?|docstring|documentation|description|behaviou?r)?\W*(?:is\W+)?(?:inherited|inherits)(?:\W+(?:from|by|docs?|docstring|documentation)\b{_REST_OF})?
+      |inherit\W*docs?|(?:overrides?|overridden|implements|extends)\b(?:\W+(?:of|from|by|in|the|base|parent|super|interface|class|method|docs?|\{{?@?\w+[.\#]?\w*\}}?))*
+      |(?:described|documented|explained|defined)\W+(?:above|below|elsewhere|in\b{_REST_OF})
+      |(?:siehe|wie|vgl\.?|s\.)\W+(?:oben|unten|dort|{_REST_OF}(?:klasse|methode|doku\w*|basis\w*|eltern\w*))|geerbt(?:\W+von\b{_REST_OF})?
+      |(?:véase|ver|igual\ que|como)\W+(?:arriba|abajo|más\W+arriba|{_REST_OF}(?:clase|padre|método|base|documentación))|heredad[oa](?:\W+de\b{_REST_OF})?
+      |(?:同上|参见{_REST_OF}|见上文?|見よ|上記参照|см\.?\W{_REST_OF})
     )\W*$"""
 )
 DIRECTIVE = re.compile(
