@@ -20,27 +20,45 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEVELS = 5
-FEATURES = 14
+FEATURES = 17
 #: Graded texts the model is fitted on, at most; the graded table is a fixed one.
 MOST_SAMPLES = 5_000
 #: Strength of the penalty, and rounds of refitting on the model's own sentence levels.
 PENALTY = 1.0
 ROUNDS = 4
+#: Spread of a feature that is taken at least, so that one that hardly varies in the graded texts gets no huge weight.
+LEAST_SPREAD = 0.02
 #: Weight of the features that stand for sentences of an unseen make.
 UNSEEN = 0.3
-#: Cleaned sentences whose score a worker remembers: a bound of memory, without effect on results.
+#: Counters of the documents that hold a word, by the word's hash: the size of the table, whatever the corpus.
+WORD_BUCKETS = 1 << 18
+#: Cleaned sentences and words whose score a worker remembers: a bound of memory, without effect on results.
 REMEMBERED = 200_000
 
-# Connectives from plain to formal, and words that open or deepen a clause.
+# Conjunctions and conjunctive adverbs as grammars list them. Coordinating and temporal ones, then those
+# that open a subordinate clause, then those of written argument.
 CONNECTIVES = {
-    "en": ("and but or so then when if because after before while first".split(), "since although though unless until whether which that who whose where".split(), "whereas insofar inasmuch albeit notwithstanding hence thus thereby whereby wherein consequently ergo nonetheless moreover lest granting construed were nor pace qua".split()),
-    "de": ("und aber oder dann wenn weil jetzt zuerst".split(), "bevor nachdem solange da damit dass ob während ohne der die das welche obwohl".split(), "sofern insofern inwieweit gleichwohl obgleich mithin hinsichtlich indes weshalb deren dessen zumal wiewohl mitnichten allenfalls jener jene vermöge".split()),
-    "es": ("y pero o luego si ahora porque cuando".split(), "antes aunque como para que donde mientras".split(), "cuanto conquiera salvo sino empero toda cuyo cuya merced medida virtud asimismo mediante torna dimana si bien conque".split()),
-}
+    "en": (
+        "and but or so then yet also when if because after before while first next finally".split(),
+        "although as since though that unless until whether which who whom whose where wherever whenever than once".split(),
+        "accordingly albeit consequently conversely furthermore hence however inasmuch insofar likewise moreover namely nevertheless nonetheless notwithstanding otherwise provided thereby therefore thus whereas whereby wherein whereupon".split(),
+    ),
+    "de": (
+        "und aber oder denn dann auch wenn weil jetzt zuerst danach".split(),
+        "als bevor bis da damit dass nachdem ob obwohl seit sobald solange während welche welcher welches der die das wo ohne".split(),
+        "allerdings anderenfalls andererseits demgemäß demnach demzufolge dennoch deshalb falls folglich gleichwohl hingegen indem indessen infolgedessen insofern insoweit jedoch mithin obgleich sofern somit soweit wenngleich weshalb wobei wodurch zumal".split(),
+    ),
+    "es": (
+        "y e o u ni pero luego también si porque cuando ahora primero después".split(),
+        "antes aunque como donde hasta mientras para pues que quien quienes según sin".split(),
+        "asimismo conque consiguiente cual cuales cuya cuyas cuyo cuyos embargo empero entretanto excepto obstante salvo siempre sino tampoco".split(),
+    ),
+}
 LANGUAGES = tuple(CONNECTIVES)
 _BITS = 24
 _FIELD = (1 << _BITS) - 1
@@ -69,6 +87,7 @@ _END = re.compile(r"(?<=[.!?…])[\"')\]»“”’]*\s+")
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _OTHER = re.compile(r"[Ͱ-ᇿ぀-ヿ㐀-鿿가-힯]")
+_PARTS = re.compile(r"[-'’]")
 _PAUSE = re.compile(r"[,;:()–—]")
 
 
@@ -113,7 +132,32 @@ def prose(text: str) -> list[str]:
     return clean
 
 
-Info = tuple[float, int, int, int, int, int]  # difficulty, length, long, plain, deep or formal, formal
+Info = tuple[float, int, int, int, int, int, float]  # difficulty, length, long, plain, deep or formal, formal, rarity
+
+
+class Rarity:
+    """How rare a word is: the logarithm of all documents over those that hold it, from counters by the word's hash.
+
+    Of a word with hyphens or apostrophes the rarest part counts. Words that share a counter look more
+    frequent than they are.
+    """
+
+    def __init__(self, counts: np.ndarray | None = None, documents: int = 0):
+        self.table = None if counts is None else np.log((documents + 1.0) / (counts + 1.0)).astype(np.float32)
+
+    def of(self, word: str) -> float:
+        if self.table is None:
+            return 0.0
+        return max(float(self.table[xxhash.xxh64_intdigest(p.encode(), 42) % len(self.table)]) for p in _PARTS.split(word))
+
+
+def word_rarity(docs: DataFrame, text: str = "text", buckets: int = WORD_BUCKETS) -> Rarity:
+    """Document frequencies of all words of all documents, counted in the JVM; only the table of counters reaches the driver."""
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}]+"))).alias("w")).where("w <> ''")
+    rows = words.groupBy(F.expr(f"cast(pmod(xxhash64(w), {buckets}) as int)").alias("b")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    counts = np.zeros(buckets)
+    counts[rows.column("b").to_numpy()] = rows.column("n").to_numpy()
+    return Rarity(counts, docs.where(F.col(text).isNotNull()).count())
 
 
 @dataclass
@@ -126,6 +170,8 @@ class Model:
     weights: dict[str, list[float]] = field(default_factory=dict)  # for raw features; the last is the constant
     cuts: dict[str, list[float]] = field(default_factory=dict)
     bounds: dict[str, list[float]] = field(default_factory=dict)  # between the centres of whole texts
+    rarity: Rarity = field(default_factory=Rarity)
+    new: dict[str, dict[str, Info]] = field(default_factory=dict)  # words outside the lexicon seen so far
 
     def sentence(self, sentence: str) -> tuple[str | None, float, int, int]:
         """(language, score, words, words of other languages) of a cleaned sentence."""
@@ -146,7 +192,10 @@ class Model:
         if most * 4 < n:
             return None, 0.0, 0, n
         w = self.weights[best]
-        x = features(sentence, words, self.words[best], self.unknown[best], _SETS[best])
+        new = self.new.setdefault(best, {})
+        if len(new) > REMEMBERED:
+            new.clear()
+        x = features(sentence, words, self.words[best], new, self.unknown[best], _SETS[best], self.rarity)
         return best, w[-1] + sum(a * b for a, b in zip(x, w, strict=False)), n, 0
 
     def level(self, sentence: str) -> tuple[str | None, float, int, int]:
@@ -161,24 +210,30 @@ class Model:
         return lang, level, n, 0
 
 
-def _info(word: str, difficulty: float, sets: tuple) -> Info:
+def _info(word: str, difficulty: float, sets: tuple, rarity: Rarity) -> Info:
     plain, deep, formal = sets
-    return difficulty, len(word), len(word) >= 9, word in plain, word in deep or word in formal, word in formal
+    return difficulty, len(word), len(word) >= 9, word in plain, word in deep or word in formal, word in formal, rarity.of(word)
+
 
+def features(sentence: str, words: list[str], known: dict[str, Info], fresh: dict[str, Info], unknown: tuple[float, float], sets: tuple, rarity: Rarity) -> list[float]:
+    """Lexical diversity, length, graded difficulty of the words (mean, top, upper quarter, median, share ungraded), connectives of three kinds, clause depth, and word rarity (mean, top, upper quarter).
 
-def features(sentence: str, words: list[str], known: dict[str, Info], unknown: tuple[float, float], sets: tuple) -> list[float]:
-    """Lexical diversity, length, word rarity (mean, top, upper half, share unknown), connectives of three kinds and clause depth."""
+    fresh: words outside the lexicon, filled in as they come.
+    """
     n = len(words)
     total = top = 0.0
     chars = longest = long = plain = deeper = formal = new = 0
-    rare = []
+    hard, rare = [], []
     for w in words:
         i = known.get(w)
         if i is None:
             new += 1
-            i = _info(w, unknown[0] + unknown[1] * min(14, len(w)), sets)
-        d, size, is_long, p, q, f = i
-        rare.append(d)
+            i = fresh.get(w)
+            if i is None:
+                i = fresh[w] = _info(w, unknown[0] + unknown[1] * min(14, len(w)), sets, rarity)
+        d, size, is_long, p, q, f, r = i
+        hard.append(d)
+        rare.append(r)
         total += d
         chars += size
         if size > longest:
@@ -187,9 +242,13 @@ def features(sentence: str, words: list[str], known: dict[str, Info], unknown: t
         plain += p
         deeper += q
         formal += f
+    hard.sort()
     rare.sort()
     pauses = len(_PAUSE.findall(sentence))
-    return [len(set(words)) / n, math.log(n), chars / n, longest, long / n, total / n, rare[-1], rare[(3 * n) // 4], rare[n // 2], new / n, plain / n, deeper / n, formal / n, math.log1p(pauses + deeper)]
+    return [
+        len(set(words)) / n, math.log(n), chars / n, longest, long / n, total / n, hard[-1], hard[(3 * n) // 4], hard[n // 2], new / n,
+        plain / n, deeper / n, formal / n, math.log1p(pauses + deeper), sum(rare) / n, rare[-1], rare[(3 * n) // 4],
+    ]
 
 
 _SETS = {lang: tuple(frozenset(x) for x in lists) for lang, lists in CONNECTIVES.items()}
@@ -223,7 +282,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float
     return w, np.sort(cuts)
 
 
-def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.ndarray, hide: set[str], sets: tuple) -> tuple[dict[str, Info], tuple[float, float]]:
+def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.ndarray, hide: set[str], sets: tuple, rarity: Rarity) -> tuple[dict[str, Info], tuple[float, float]]:
     """Difficulty of each word, the mean level of its sentences drawn to the middle; and that of unknown words by length."""
     total: Counter = Counter()
     count: Counter = Counter()
@@ -232,7 +291,7 @@ def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.nd
             total[w] += float(now[i])
             count[w] += 1
     middle = float(now[use].mean()) if use.any() else 3.0
-    known = {w: _info(w, (total[w] + middle) / (c + 1), sets) for w, c in count.items() if w not in hide}
+    known = {w: _info(w, (total[w] + middle) / (c + 1), sets, rarity) for w, c in count.items() if w not in hide}
     # words seen in few sentences stand for those never seen
     seldom = [(min(14, len(w)), total[w] / c) for w, c in count.items() if c <= max(3, len(rows) // 300)]
     if len(seldom) > 20:
@@ -242,13 +301,14 @@ def _lexicon(rows: list[tuple[int, str, list[str]]], now: np.ndarray, use: np.nd
     return known, (middle - 0.7, 0.1)
 
 
-def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: int = 5, hidden: float = 0.3, seed: int = 3) -> Model:
+def fit(samples: Iterable[tuple[str, int, str]], rarity: Rarity | None = None, rounds: int = ROUNDS, folds: int = 5, hidden: float = 0.3, seed: int = 3) -> Model:
     """A model from graded texts (language, level 1 to 5, text); languages without texts have no levels.
 
     A sentence's features come from a lexicon of the other folds, in which a part of the words is
     hidden as well, so that the weights hold for sentences and words that no graded text has.
     """
-    model = Model()
+    rarity = rarity or Rarity()
+    model = Model(rarity=rarity)
     rng = np.random.default_rng(seed)
     by: dict[str, list[tuple[int, str, list[str]]]] = {}
     texts: dict[str, list[int]] = {}
@@ -271,24 +331,26 @@ def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: in
         for _ in range(rounds):
             x = np.zeros((2 * len(rows), FEATURES))
             for f in range(folds):
-                known, other = _lexicon(rows, now, by_text != f, set(), sets)
+                fresh: dict[str, Info] = {}
+                known, other = _lexicon(rows, now, by_text != f, set(), sets, rarity)
                 for i in np.flatnonzero(by_text == f).tolist():
-                    x[i] = features(rows[i][1], rows[i][2], known, other, sets)
+                    x[i] = features(rows[i][1], rows[i][2], known, fresh, other, sets, rarity)
                 part = {w for w, r in zip(vocabulary, rng.random(len(vocabulary)), strict=True) if r < hidden}
-                known, other = _lexicon(rows, now, by_make != f, part, sets)
+                fresh = {}
+                known, other = _lexicon(rows, now, by_make != f, part, sets, rarity)
                 for i in np.flatnonzero(by_make == f).tolist():
-                    x[len(rows) + i] = features(rows[i][1], rows[i][2], known, other, sets)
-            mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
+                    x[len(rows) + i] = features(rows[i][1], rows[i][2], known, fresh, other, sets, rarity)
+            mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), LEAST_SPREAD)
             z = (x - mean) / scale
             w, cuts = fit_ordinal(z, np.concatenate([now, now]), np.concatenate([weight, UNSEEN * weight]))
             model.cuts[lang] = cuts.tolist()
             raw, w_last = w / scale, w
             model.weights[lang] = [*raw.tolist(), float(-(raw * mean).sum())]
             now = np.clip(np.searchsorted(cuts, z[: len(rows)] @ w) + 1, np.maximum(1, graded - 1), np.minimum(LEVELS, graded + 1))
-        model.words[lang], model.unknown[lang] = _lexicon(rows, now, np.ones(len(rows), dtype=bool), set(), sets)
+        model.words[lang], model.unknown[lang] = _lexicon(rows, now, np.ones(len(rows), dtype=bool), set(), sets, rarity)
         for word in model.words[lang]:
             model.marks[word] = model.marks.get(word, 0) + (1 << _BITS * LANGUAGES.index(lang))
-        # whole texts: the centre of their words' levels, and bounds half way between the means of two levels
+        # whole texts: the centre of their words' levels by weights and lexicons that haven't seen them
         expected = 1 + (1 / (1 + np.exp(np.clip(np.array(model.cuts[lang])[None, :] - (z[: len(rows)] @ w_last)[:, None], -40, 40)))).sum(axis=1)
         size = np.array([len(r[2]) for r in rows])
         of = np.array(texts[lang])
@@ -296,12 +358,28 @@ def fit(samples: Iterable[tuple[str, int, str]], rounds: int = ROUNDS, folds: in
         for t in np.unique(of):
             mine = of == t
             whole.setdefault(int(graded[mine][0]), []).append(centre_of(list(zip(expected[mine].tolist(), size[mine].tolist(), strict=True)), int(size[mine].sum())))
-        centre = [float(np.mean(whole[k])) if k in whole else float(k) for k in range(1, LEVELS + 1)]
-        # the score is on the scale of the levels, so a bound stays near the middle between two of them
-        model.bounds[lang] = [min(k + 0.5, max(k + 0.4, (a + b) / 2)) for k, (a, b) in enumerate(zip(centre, centre[1:], strict=False), 1)]
+        model.bounds[lang] = _bounds(whole)
     return model
 
 
+def _bounds(whole: dict[int, list[float]]) -> list[float]:
+    """The bound between each two levels that parts the graded texts with the fewest errors; the middle of all such bounds."""
+    out: list[float] = []
+    for k in range(1, LEVELS):
+        low = np.sort([x for level, of in whole.items() if level <= k for x in of])
+        high = np.sort([x for level, of in whole.items() if level > k for x in of])
+        if not len(low) or not len(high):
+            out.append(k + 0.5)
+            continue
+        every = np.unique(np.concatenate([low, high]))
+        tries = np.concatenate([[every[0] - 0.5], (every[:-1] + every[1:]) / 2, [every[-1] + 0.5]])
+        # errors of each kind count by the share of their side, so that the five levels' sizes don't move a bound
+        wrong = (len(low) - np.searchsorted(low, tries)) / len(low) + np.searchsorted(high, tries) / len(high)
+        best = tries[wrong <= wrong.min() + 1e-9]
+        out.append(float((best[0] + best[-1]) / 2))
+    return np.maximum.accumulate(out).tolist()
+
+
 def centre_of(parts: list[tuple[float, int]], total: int) -> float:
     """Half way between mean and median of the levels of the words, from (level, words) of each sentence.
 
@@ -353,9 +431,10 @@ def levels(docs: DataFrame, samples: DataFrame, key: str = "doc_id", text: str =
 
     reading_level is null for null and empty texts, texts without prose, and prose mostly in
     languages that have no graded texts. score is the centre of the levels of its words.
-    The stated language isn't used. Whole texts are read; other columns are not.
+    The stated language isn't used. Whole texts are read; other columns are not. Word rarity comes from
+    the document frequencies of all words of docs.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(read_samples(samples)))
+    model = docs.sparkSession.sparkContext.broadcast(fit(read_samples(samples), word_rarity(docs, text)))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,3 +43,36 @@ def test_held_out_accuracy():
     found = [readability.level_of(model, t[2], {})[0] for t in held]
     assert sum(abs(f - t[1]) <= 1 for f, t in zip(found, held, strict=True)) == len(held)
     assert sum((f >= 4) == (t[1] >= 4) for f, t in zip(found, held, strict=True)) >= 0.98 * len(held)
+
+
+def test_word_rarity_counts_documents_in_the_jvm_as_workers_look_them_up(spark):
+    texts = ["the cat's index", "The index, the index!", "the Über-Index", None, ""]
+    rarity = readability.word_rarity(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert rarity.of("the") < rarity.of("index") + 1e-6 < rarity.of("cat") == pytest.approx(rarity.of("über"))
+    assert rarity.of("über-index") == rarity.of("über") and rarity.of("never") > rarity.of("cat")
+    assert readability.Rarity().of("the") == 0.0
+
+
+def test_bounds_part_the_levels_with_fewest_errors():
+    assert readability._bounds({1: [1.0, 1.2], 2: [2.0, 2.2], 3: [3.0], 4: [4.4], 5: [5.0]}) == pytest.approx([1.6, 2.6, 3.7, 4.7])
+    assert readability._bounds({1: [1.0, 1.2, 3.0], 2: [2.0, 2.2, 2.4], 3: [3.5]})[0] == pytest.approx(1.6)
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.01/reading_samples.parquet"), reason="no graded texts here")
+@pytest.mark.parametrize("graded_words", [True, False])
+def test_five_fold_accuracy_with_and_without_graded_words(spark, monkeypatch, graded_words):
+    root = "/root/testdata/sf0.01"
+    texts = readability.read_samples(spark.read.parquet(f"{root}/reading_samples.parquet"))
+    rarity = readability.word_rarity(spark.read.parquet(f"{root}/documents.parquet"))
+    if not graded_words:  # words still tell the language, but all are equally difficult
+        whole = readability._lexicon
+        monkeypatch.setattr(readability, "_lexicon", lambda *a: ({w: (3.0, *i[1:]) for w, i in whole(*a)[0].items()}, (3.0, 0.0)))
+    exact = high = 0
+    for fold in range(5):
+        model = readability.fit([t for i, t in enumerate(texts) if i % 5 != fold], rarity)
+        for i, (_, level, text) in enumerate(texts):
+            if i % 5 == fold:
+                found = readability.level_of(model, text, {})[0]
+                exact += found == level
+                high += (found >= 4) == (level >= 4)
+    assert high >= 0.98 * len(texts) and exact >= (0.85 if graded_words else 0.75) * len(texts)
