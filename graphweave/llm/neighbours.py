@@ -2,10 +2,14 @@
 
 The forest is fitted on a bounded sample: each node of a tree projects on the difference of two
 random sample vectors and splits in the widest gap near the median of the sample's projections, so
-that cells stay balanced whatever the density. Every vector is indexed in one leaf of each tree. A
-search takes leaves from one priority queue shared by all trees, whose priority is the smallest
-margin on the way to a leaf: first the vector's own leaf in each tree, then the leaves across the
-closest splits. The leaf candidates are ranked by their exact cosine.
+that cells stay balanced whatever the density. Below the depth that the sample can resolve, cells are
+split on by random directions at the median of their own sample, so leaves stay small however many
+vectors there are. A vector descends to its leaf in the first tree; from every node on its way the
+other side goes into a queue that all trees share, with the margin to the split as its priority, and
+so do the other trees, with the vector's least margin in the first. The queue is emptied down to a
+priority fitted on the sample, each entry descending to a leaf and adding the other sides on its way.
+All vectors that come to a leaf, by whatever way, are candidates of each other, ranked by their exact
+cosine. search_exact compares given vectors with all rows, in blocks, without an index.
 
 Vectors of one direction form a class. A class is searched once, and keeps the first few of its
 members, so that groups of copies of any size neither fill a cell nor hide other neighbours. Copies
@@ -28,17 +32,22 @@ from pyspark.sql import functions as F
 from graphweave.session import cut
 
 #: Rows of the sample that the forest is fitted on, at most.
-SAMPLE_ROWS = 20_000
-#: Trees, and leaves a search takes from the shared queue besides the own leaf of each tree: on average and at most.
+SAMPLE_ROWS = 40_000
+#: Trees, leaves a search takes from the shared queue besides its own on average (and more for each level, as each
+#: splits neighbours, and for each beyond the sample's resolution, as it does so blindly), and which part of them is ways into other trees.
 TREES = 2
 EXTRA_LEAVES = 0.5
-MOST_EXTRA = 3
+EXTRA_A_LEVEL = 0.05
+EXTRA_UNFITTED = 0.5
+OTHER_TREES = 0.2
 #: Vectors a leaf holds, about.
-LEAF_ROWS = 6_000
+LEAF_ROWS = 4_000
+#: Rows of the table for each partition of the leaves' shuffle: their number grows with the table, their size doesn't.
+PARTITION_ROWS = 4_000
 #: Times a random direction is multiplied by the local covariance, which turns it to where the vectors spread most.
 SHARPEN = 2
-#: Priorities held at once: rows times leaves.
-QUEUE_CELLS = 4_000_000
+#: Vectors that descend at once.
+BLOCK_ROWS = 8_192
 #: Times its size from which a leaf is searched through a forest of its own.
 OVERFULL = 3
 #: Nodes with changed vectors that may be broadcast; more are joined by a shuffle.
@@ -53,29 +62,31 @@ MIDDLE = 0.15
 
 @dataclass
 class Tree:
-    """Nodes level by level: normals (2**depth - 1, dim) and offsets; leaf = path bits."""
+    """Nodes level by level: normals (2**depth - 1, dim) and offsets; below, one direction a level for all cells with an offset a cell.
+
+    A path is the sides taken so far as bits. Levels 0 to depth - 1 are fitted nodes, those from depth on are beyond the sample's resolution.
+    """
 
     depth: int
     normals: np.ndarray
     offsets: np.ndarray
+    deeper: np.ndarray  # (levels, dim)
+    cell_offsets: np.ndarray  # (2**depth, levels)
 
-    def margins(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.normals.T - self.offsets
+    @property
+    def levels(self) -> int:
+        return self.depth + len(self.deeper)
 
-    def priorities(self, x: np.ndarray) -> np.ndarray:
-        """(rows, leaves): the smallest margin on the way to each leaf, negative beyond a split."""
-        m = self.margins(x)
-        out = np.full((len(x), 1), np.inf, dtype=np.float32)
-        for level in range(self.depth):
-            at = m[:, 2**level - 1 : 2 ** (level + 1) - 1]
-            both = np.empty((len(x), 2 ** (level + 1)), dtype=np.float32)
-            np.minimum(out, -at, out=both[:, 0::2])
-            np.minimum(out, at, out=both[:, 1::2])
-            out = both
-        return out
+    def margin(self, x: np.ndarray, level: int, path: np.ndarray) -> np.ndarray:
+        """The margin of each vector at its node of a level; the side is 1 where it is over 0."""
+        if level < self.depth:
+            node = 2**level - 1 + path
+            return np.einsum("ij,ij->i", x, self.normals[node]) - self.offsets[node]
+        below = level - self.depth
+        return x @ self.deeper[below] - self.cell_offsets[path >> below, below]
 
 
-def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
+def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator, deeper: int = 0) -> Tree:
     n_nodes = 2**depth - 1
     normals = np.zeros((n_nodes, sample.shape[1]), dtype=np.float32)
     offsets = np.zeros(n_nodes, dtype=np.float32)
@@ -114,58 +125,92 @@ def fit_tree(sample: np.ndarray, depth: int, rng: np.random.Generator) -> Tree:
             right = best[3] > best[2]
             below += [mine[~right], mine[right]]
         rows = below
-    return Tree(depth, normals, offsets)
+    directions = rng.standard_normal((deeper, sample.shape[1])).astype(np.float32)
+    if deeper:
+        spread = np.concatenate([sample[mine] - sample[mine].mean(axis=0) for mine in rows if len(mine)] or [sample])
+        for _ in range(SHARPEN):  # by what vectors of a cell differ in, over all cells
+            directions = directions @ spread.T @ spread
+            directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-12)
+    directions /= np.maximum(np.linalg.norm(directions, axis=1, keepdims=True), 1e-12)
+    middle = np.zeros((2**depth, deeper), dtype=np.float32)
+    for cell, mine in enumerate(rows):
+        if len(mine) and deeper:
+            middle[cell] = np.median(sample[mine] @ directions.T, axis=0)
+    return Tree(depth, normals, offsets, directions, middle)
 
 
 @dataclass
 class Forest:
-    """Trees, and how far beyond a split the shared queue is followed."""
+    """Trees, the priority down to which the shared queue is followed, and what the way into another tree counts beside a margin."""
 
     trees: list[Tree]
-    reach: float
-    most: int
-
-    def queue(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Own leaf of each tree, and the priorities of all other leaves of the forest.
-
-        The own leaf of a tree has the only path without a negative margin, so it leads the queue.
-        """
-        per = [t.priorities(x) for t in self.trees]
-        base = np.cumsum([0, *(p.shape[1] for p in per[:-1])])
-        own = np.stack([np.argmax(p, axis=1) + b for p, b in zip(per, base, strict=True)], axis=1)
-        queue = np.concatenate(per, axis=1)
-        np.put_along_axis(queue, own, -np.inf, axis=1)
-        return own, queue
-
-    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Parallel arrays row, leaf, own: what the shared queue gives for each row, some rows at a time."""
-        step = max(64, QUEUE_CELLS // sum(2**t.depth for t in self.trees))
-        parts = [(at, *self._leaves(x[at : at + step])) for at in range(0, max(1, len(x)), step)]
-        return np.concatenate([r + at for at, r, _, _ in parts]), np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts])
-
-    def _leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own, queue = self.queue(x)
-        n, t = own.shape
-        rows, leaf, is_own = [np.repeat(np.arange(n), t)], [own.ravel()], [np.ones(n * t, dtype=bool)]
-        most = min(self.most, queue.shape[1] - t)
-        if most > 0:
-            at = np.argpartition(-queue, most - 1, axis=1)[:, :most]
-            row, col = np.nonzero(np.take_along_axis(queue, at, axis=1) >= self.reach)
-            rows.append(row)
-            leaf.append(at[row, col])
-            is_own.append(np.zeros(len(row), dtype=bool))
-        return np.concatenate(rows), np.concatenate(leaf).astype(np.int32), np.concatenate(is_own)
-
-
-def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, extra: float = EXTRA_LEAVES, most: int = MOST_EXTRA, seed: int = 7) -> Forest:
-    """A forest over unit vectors. extra: further leaves a search takes on average, most: for one vector at most."""
+    reach: float = np.inf
+    handicap: float = 0.0
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) of every leaf that each vector comes to, its own in the first tree first."""
+        parts = [(at, *self._leaves(x[at : at + BLOCK_ROWS])) for at in range(0, max(1, len(x)), BLOCK_ROWS)]
+        return np.concatenate([r + at for at, r, _ in parts]), np.concatenate([leaf for _, _, leaf in parts])
+
+    def _leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(x)
+        everyone = np.arange(n)
+        leaf, least, queue = self._descend(x, 0, 0, everyone, np.zeros(n, dtype=np.int64), np.full(n, np.inf, dtype=np.float32))
+        rows, leaves = [everyone], [leaf]
+        for t in range(1, len(self.trees)):
+            priority = self.handicap - least
+            take = np.flatnonzero(priority >= self.reach)
+            queue.append((t, 0, take, np.zeros(len(take), dtype=np.int64), priority[take]))
+        while queue:  # all entries are at or over the reach; each adds only entries that are, so the order is free
+            t, level, row, path, priority = queue.pop()
+            if len(row):
+                leaf, _, more = self._descend(x, t, level, row, path, priority)
+                rows.append(row)
+                leaves.append(leaf)
+                queue += more
+        row, leaf = np.concatenate(rows), np.concatenate(leaves)
+        return row, leaf
+
+    def _descend(self, x: np.ndarray, t: int, level: int, row: np.ndarray, path: np.ndarray, priority: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple]]:
+        """(leaf, least margin on the way, entries for the queue) of vectors from a node of a tree on."""
+        tree, more = self.trees[t], []
+        least = np.full(len(row), np.inf, dtype=np.float32)
+        for at in range(level, tree.levels):
+            margin = tree.margin(x[row], at, path)
+            side = margin > 0
+            size = np.abs(margin)
+            other = np.minimum(priority, -size)
+            take = np.flatnonzero(other >= self.reach)
+            if len(take):
+                more.append((t, at + 1, row[take], 2 * path[take] + ~side[take], other[take]))
+            least = np.minimum(least, size)
+            path = 2 * path + side
+        return path + (t << tree.levels), least, more
+
+
+def fit_forest(sample: np.ndarray, depth: int, trees: int = TREES, extra: float = EXTRA_LEAVES, other: float = OTHER_TREES, seed: int = 7) -> Forest:
+    """A forest over unit vectors, of any depth. extra: further leaves a search takes on average, at depth 0, other: the part of them that is ways into other trees."""
     rng = np.random.default_rng(seed)
-    forest = Forest([fit_tree(sample, depth, rng) for _ in range(trees)], 0.0, most)
+    fitted = min(depth, int(np.log2(max(1, len(sample) // 4)))) if len(sample) >= 4 else 0
+    forest = Forest([fit_tree(sample, fitted, rng, depth - fitted) for _ in range(trees)])
     if not len(sample) or depth < 1:
         return forest
-    first = -np.sort(-forest.queue(sample[:5000])[1], axis=1)[:, :most]
-    level = np.sort(first.ravel())[::-1]
-    forest.reach = float(level[min(len(level) - 1, int(len(first) * extra))])
+    x = sample[:5000]
+    path = np.zeros(len(x), dtype=np.int64)
+    sizes = []
+    for level in range(depth):
+        margin = forest.trees[0].margin(x, level, path)
+        sizes.append(np.abs(margin))
+        path = 2 * path + (margin > 0)
+    every, least = np.sort(np.concatenate(sizes)), np.sort(np.min(sizes, axis=0))
+    goal = extra + EXTRA_A_LEVEL * depth + EXTRA_UNFITTED * (depth - fitted)
+    low, high = 0.0, goal
+    for _ in range(8):  # entries that others add count too, so the part of the goal that is taken at first is found by halving
+        try_ = (low + high) / 2
+        forest.reach = -float(every[min(len(every) - 1, int(len(x) * try_ * (1 - other)))])
+        across = float(least[min(len(least) - 1, int(len(x) * try_ * other / max(1, trees - 1)))])
+        forest.handicap = forest.reach + across
+        low, high = (try_, high) if len(forest.leaves(x)[0]) <= len(x) * (1 + goal) else (low, try_)
     return forest
 
 
@@ -254,33 +299,30 @@ def _search(member: np.ndarray, member_at: np.ndarray, query: np.ndarray, query_
     return out
 
 
-def _search_leaf(x: np.ndarray, own: np.ndarray, k: int, leaf_rows: int, trees: int, extra: float) -> list[tuple[int, list[tuple[float, int]]]]:
-    """The k nearest members of every vector of a leaf, by place. A leaf far over its size is searched through a forest of its own."""
-    members = int(own.sum())
+def _search_leaf(x: np.ndarray, k: int, leaf_rows: int, trees: int, extra: float) -> list[tuple[int, list[tuple[float, int]]]]:
+    """The k nearest of every vector of a leaf, by place.
+
+    A leaf far over its size, as near copies can't be split, is searched through a forest of its own.
+    """
     places = np.arange(len(x))
-    if members <= OVERFULL * leaf_rows:
-        return _search(x[own], places[own], x, places, k) if members else []
+    if len(x) <= OVERFULL * leaf_rows:
+        return _search(x, places, x, places, k)
     unit = _unit(x)
-    rng = np.random.default_rng(members)
-    sample = unit[own][rng.permutation(members)[:SAMPLE_ROWS]]
-    depth = min(int(np.ceil(np.log2(members / leaf_rows))), int(np.log2(max(1, len(sample) // 4))))
-    row, leaf, is_own = fit_forest(sample, depth, trees, extra).leaves(unit)
+    rng = np.random.default_rng(len(x))
+    row, leaf = fit_forest(unit[rng.permutation(len(x))[:SAMPLE_ROWS]], int(np.ceil(np.log2(len(x) / leaf_rows))), trees, extra).leaves(unit)
     found: dict[int, set[tuple[float, int]]] = {}
     order = np.argsort(leaf, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
-        part = part[np.argsort(row[part], kind="stable")]
-        at, mine = row[part], is_own[part] & own[row[part]]
-        if mine.any():
-            for q, near in _search(x[at[mine]], at[mine], x[at], at, k):
-                found.setdefault(q, set()).update(near)
+        at = np.sort(row[part])
+        for q, near in _search(x[at], at, x[at], at, k):
+            found.setdefault(q, set()).update(near)
     # the forest parts a large group of near copies by their last bits; each must still meet the first of its group
     for shift in (0.0, 0.5):
         copy = _numbers(np.rint(unit / np.float32(COPY) + np.float32(shift)).astype(np.int32))
         order = np.argsort(copy, kind="stable")
         for at in np.split(order, np.flatnonzero(np.diff(copy[order])) + 1):
-            first = at[own[at]][: k + 1]
-            if len(at) > 1 and len(first):
-                for q, near in _search(x[first], first, x[at], at, k):
+            if len(at) > 1:
+                for q, near in _search(x[at[: k + 1]], at[: k + 1], x[at], at, k):
                     found.setdefault(q, set()).update(near)
     return [(q, _first(near, k)) for q, near in found.items()]
 
@@ -324,7 +366,6 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
     chosen = rows.where(F.pmod(F.xxhash64("n"), F.lit(1 << 20)) < F.lit(int(fraction * (1 << 20)) + 1))
     sample = _unpacked(chosen.select("v").mapInArrow(pick, "v binary").limit(sample_rows).toArrow().column("v").combine_chunks(), dim)
     depth = max(0, int(np.ceil(np.log2(max(1, total) / leaf_rows))))
-    depth = min(depth, int(np.log2(max(1, len(sample) // 4))) if len(sample) >= 4 else 0)
     forest = spark.sparkContext.broadcast(fit_forest(_unit(sample) if len(sample) else sample, depth, trees, extra))
 
     # vectors that a node no longer has must not take a place among the nearest
@@ -349,19 +390,18 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
             if not len(send):
                 continue
             x, h, names = x[send], h[send], names.take(pa.array(send))
-            row, leaf, own = forest.value.leaves(_unit(x))
+            row, leaf = forest.value.leaves(_unit(x))
             packed, places = pa.array(_packed(x), pa.binary()), pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(own), pa.array(h[row]), names.take(places), packed.take(places)], names=["leaf", "own", "h", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(h[row]), names.take(places), packed.take(places)], names=["leaf", "h", "n", "v"])
 
     def search(table: pa.Table) -> pa.Table:
         # directions in order of their first node, so that their places decide between equal cosines
         table = table.take(pc.sort_indices(table, [("n", "ascending")]))
-        h, first, same = np.unique(table.column("h").to_numpy(), return_index=True, return_inverse=True)
-        own = np.bincount(same, weights=table.column("own").to_numpy()) > 0
+        h, first = np.unique(table.column("h").to_numpy(), return_index=True)
         order = np.argsort(first)
-        h, first, own = h[order], first[order], own[order]
+        h, first = h[order], first[order]
         x = _unpacked(table.column("v").combine_chunks().take(pa.array(first)), dim)
-        found = _search_leaf(x, own, k, leaf_rows, trees, extra)
+        found = _search_leaf(x, k, leaf_rows, trees, extra)
         columns = [pa.array(h[[q for q, _ in found]] if found else [], pa.int64())]
         for j in range(k):
             columns.append(pa.array([of[j][0] if j < len(of) else None for _, of in found], pa.float64()))
@@ -370,8 +410,9 @@ def nearest(df: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec",
 
     # flat columns: a row of numbers takes half the bytes of a list of structs in the shuffle
     flat = [f"{c}{j}" for j in range(k) for c in "ch"]
-    leaves = source.select("n", "v").mapInArrow(route, f"leaf int, own boolean, h long, n {kind}, v binary")
-    lists = leaves.groupBy("leaf").applyInArrow(search, "h long, " + ", ".join(f"{c} {'double' if c[0] == 'c' else 'long'}" for c in flat))
+    leaves = source.select("n", "v").mapInArrow(route, f"leaf long, h long, n {kind}, v binary")
+    spread = max(spark.sparkContext.defaultParallelism, -(-total // PARTITION_ROWS))
+    lists = leaves.repartition(spread, "leaf").groupBy("leaf").applyInArrow(search, "h long, " + ", ".join(f"{c} {'double' if c[0] == 'c' else 'long'}" for c in flat))
     one = F.filter(F.array(*[F.struct((-F.col(f"c{j}")).alias("d"), F.col(f"h{j}").alias("h")) for j in range(k)]), lambda s: s["h"].isNotNull())
     near = lists.repartition("h").groupBy("h").agg(F.array_sort(F.flatten(F.collect_list(one))).alias("near"))
     once = near.select("h", F.filter("near", lambda s, i: F.array_position(F.col("near.h"), s["h"]) == i + 1).alias("near"))
@@ -401,3 +442,55 @@ def nearest_pairs(df: DataFrame, k: int = 5, **how) -> DataFrame:
     first = ranked.groupBy("h").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "o"))), lambda s: s["o"]).alias("first"))
     pairs = owner.join(first, "h").select("n", F.explode(F.slice(F.array_except("first", F.array("n")), 1, k)).alias("o"))
     return pairs.select(F.least("n", "o").alias("node_a"), F.greatest("n", "o").alias("node_b")).distinct()
+
+
+def search_exact(df: DataFrame, queries: DataFrame, k: int = 5, node: str = "node_id", vec: str = "vec", newest: str | None = "updated_at", dim: int = 384, block: int = 2_000) -> DataFrame:
+    """(node_id, rank, other, cosine): the k most similar nodes of every query, by comparing it with all rows; exact, and as slow as that is.
+
+    Queries (column node) are taken in blocks of a fixed size, whose vectors are broadcast; each
+    partition keeps its k best of each query, and only those meet. Equal cosines are taken in order of
+    the node. Rows are usable as in nearest; queries without a usable row give nothing.
+    """
+    spark = df.sparkSession
+    kind = df.schema[node].dataType.simpleString()
+    rows = df.select(F.col(node).alias("n"), F.col(vec).alias("v"), (F.col(newest) if newest else F.lit(0)).alias("t")).where("n is not null and v is not null")
+
+    def usable(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, x = _rows(b.column(1), dim)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(2).take(pa.array(at)), pa.array(_packed(x), pa.binary())], names=["n", "t", "v"])
+
+    stamp = rows.schema["t"].dataType.simpleString()
+    good = rows.mapInArrow(usable, f"n {kind}, t {stamp}, v binary").groupBy("n").agg(F.max_by("v", F.struct("t", "v")).alias("v"))
+    good = cut(good)
+    asked = cut(good.join(queries.select(F.col(node).alias("n")).distinct(), "n", "left_semi").withColumn("at", F.monotonically_increasing_id()).repartitionByRange("at"))
+    blocks = -(-asked.count() // block)
+    best = None
+    for turn in range(blocks):
+        ask = asked.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == turn).select("n", "v").orderBy("n").toArrow()
+        names, q = ask.column("n").to_pylist(), _unpacked(ask.column("v").combine_chunks(), dim)
+        sent = spark.sparkContext.broadcast((names, q / np.maximum(np.linalg.norm(q.astype(np.float64), axis=1, keepdims=True), 1e-300)))
+
+        def compare(batches: Iterable[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            kept: list[list[tuple[float, object]]] = [[] for _ in names]
+            for b in batches:
+                others = b.column(0).to_pylist()
+                x = _unpacked(b.column(1), dim).astype(np.float64)
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                cosines = np.round(x @ q.T, 12)
+                take = min(len(others), k + 1)
+                least = np.partition(cosines, len(others) - take, axis=0)[len(others) - take] if take else None
+                for i, name in enumerate(names):
+                    hits = [(-float(cosines[j, i]), others[j]) for j in np.flatnonzero(cosines[:, i] >= least[i]) if others[j] != name]
+                    kept[i] = sorted(kept[i] + hits)[:k]
+            out = [(n, -d, o) for n, near in zip(names, kept, strict=True) for d, o in near]
+            yield pa.RecordBatch.from_pylist([{"n": n, "cosine": c, "other": o} for n, c, o in out], schema=wanted)
+
+        wanted = pa.schema([("n", ask.schema.field("n").type), ("cosine", pa.float64()), ("other", ask.schema.field("n").type)])
+        part = good.mapInArrow(compare, f"n {kind}, cosine double, other {kind}")
+        best = part if best is None else best.unionByName(part)
+    if best is None:
+        return spark.createDataFrame([], f"{node} {kind}, rank int, other {kind}, cosine double")
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("cosine"), "other"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("n").alias(node), "rank", "other", "cosine")

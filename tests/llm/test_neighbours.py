@@ -1,3 +1,5 @@
+import heapq
+
 import numpy as np
 import pytest
 
@@ -92,16 +94,55 @@ def test_tiny_tables(spark, n):
     assert neighbours.nearest_pairs(df, k=5, dim=2).count() == (1 if n == 2 else 0)
 
 
-def test_queue_starts_at_the_own_leaf():
+def walk(tree, v):
+    path, least = 0, np.inf
+    for level in range(tree.levels):
+        m = float(tree.margin(v[None], level, np.array([path]))[0])
+        path, least = 2 * path + (m > 0), min(least, abs(m))
+    return path, least
+
+
+@pytest.mark.parametrize("depth, sample", [(3, 600), (8, 40)])
+def test_the_shared_queue_gives_what_popping_one_entry_after_another_gives(depth, sample):
+    """Against a heap of (priority, tree, level, path), popped from the greatest priority down to the reach."""
     x = vectors(600, 16, 3)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    forest = neighbours.fit_forest(x, 3)
-    rows, leaf, own = forest.leaves(x)
+    forest = neighbours.fit_forest(x[:sample], depth)
+    rows, leaf = forest.leaves(x)
+    assert forest.trees[0].levels == depth and (sample == 600) == (forest.trees[0].depth == depth)
     for i in range(0, 600, 50):
-        mine = leaf[(rows == i) & own]
-        assert [m // 8 for m in mine] == [0, 1]
-        margins = forest.trees[0].margins(x[i : i + 1])[0]
-        node = 0
-        for _ in range(3):
-            node = 2 * node + (2 if margins[node] > 0 else 1)
-        assert mine[0] == node - 7
+        path, least = walk(forest.trees[0], x[i])
+        heap = [(-np.inf, 0, 0, 0)] + [(-(forest.handicap - np.float32(least)), t, 0, 0) for t in range(1, len(forest.trees))]
+        want = set()
+        while heap:
+            low, t, level, at = heapq.heappop(heap)
+            if -low < forest.reach:
+                break
+            for step in range(level, depth):
+                m = forest.trees[t].margin(x[i : i + 1], step, np.array([at]))[0]
+                heapq.heappush(heap, (max(low, float(abs(m))), t, step + 1, 2 * at + int(not m > 0)))
+                at = 2 * at + int(m > 0)
+            want.add(at + (t << depth))
+        got = leaf[rows == i].tolist()
+        assert got[0] == path and set(got) == want
+
+
+def test_the_exact_way(spark):
+    dim = 16
+    x = vectors(300, dim, 9)
+    rows = [(f"n{i:03d}", v.tolist(), "m", 1, 0) for i, v in enumerate(x)] + [(f"same{i}", x[3].tolist(), "m", 1, 0) for i in range(7)] + [("bad", None, "m", 1, 0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = neighbours.search_exact(df, df.select("node_id"), k=5, dim=dim, block=60).collect()
+    assert {(min(r["node_id"], r["other"]), max(r["node_id"], r["other"])) for r in got} == brute(rows, 5, dim)
+    assert all(r["rank"] <= 5 for r in got) and len(got) == 5 * 307
+    assert neighbours.search_exact(df, df.select("node_id").limit(0), dim=dim).count() == 0
+
+
+def test_recall_at_depth_8(spark):
+    dim = 32
+    x = vectors(6000, dim, 12)
+    df = spark.createDataFrame([(f"n{i:05d}", v.tolist(), "m", 1, 0) for i, v in enumerate(x)], SCHEMA)
+    got = {tuple(r) for r in neighbours.nearest_pairs(df, k=5, dim=dim, leaf_rows=24, sample_rows=2000, extra=3.0).collect()}
+    asked = df.where("node_id like '%7'").select("node_id")
+    true = [(r["node_id"], r["other"]) for r in neighbours.search_exact(df, asked, k=5, dim=dim).collect()]
+    assert len(true) == 3000 and sum((min(p), max(p)) in got for p in true) >= 0.9 * len(true)
