@@ -1,7 +1,8 @@
 """Symbol lookups: exact and tiered names, ranked search, listings and path resolution.
 
 Filters come on columns that are the same in all rows of an id (name, type, path), so they are
-pushed to the scan before current rows are picked. Every limited answer has a total order.
+pushed to the scan before current rows are picked: a qualified name ends in the name, so its last
+part filters too. Every limited answer has a total order.
 """
 
 from __future__ import annotations
@@ -18,6 +19,11 @@ def _dotted(name: str) -> Column:
     return (F.col("qualified_name") == name) | F.endswith("qualified_name", F.lit("." + name))
 
 
+def _last_part(name: str) -> Column:
+    """Holds for every symbol that a name can mean, by the symbol's own name alone."""
+    return F.col("name").isNull() | F.endswith("name", F.lit(name.rpartition(".")[2]))
+
+
 def best_tier(df: DataFrame, tier: Column) -> DataFrame:
     """The rows of the lowest tier that occurs: a fallback that runs only if the better tiers are empty.
 
@@ -30,7 +36,7 @@ def best_tier(df: DataFrame, tier: Column) -> DataFrame:
 
 def get_function(nodes: DataFrame, name: str, limit: int = MAX_ROWS) -> DataFrame:
     """Functions, methods and classes of a name; only if there are none, those whose qualified name ends in it."""
-    code = nodes.where(F.col("type").isin("FUNCTION", "METHOD", "CLASS"))
+    code = nodes.where(F.col("type").isin("FUNCTION", "METHOD", "CLASS")).where(_last_part(name))
     tier = F.when(F.col("name") == name, 0).when(_dotted(name), 1)
     return best_tier(code, tier).orderBy(F.length("qualified_name").asc_nulls_last(), "id").limit(limit).select(*BRIEF)
 
@@ -38,10 +44,18 @@ def get_function(nodes: DataFrame, name: str, limit: int = MAX_ROWS) -> DataFram
 def get_definition(nodes: DataFrame, name: str, limit: int = 5) -> DataFrame:
     """Any symbol of a name or qualified name: by tier (name, qualified name, its end), then by length."""
     tier = F.when(F.col("name") == name, 0).when(F.col("qualified_name") == name, 1).when(F.endswith("qualified_name", F.lit("." + name)), 2)
-    found = nodes.withColumn("tier", tier).where("tier is not null")
+    found = nodes.where(_last_part(name)).withColumn("tier", tier).where("tier is not null")
     return found.orderBy("tier", F.length("qualified_name").asc_nulls_last(), "id").limit(limit).select("tier", *BRIEF)
 
 
+def search_condition(query: str, wildcard: bool = False) -> Column:
+    """Whether name or qualified name holds the query, in any letter case."""
+    q, low, qlow = query.lower(), F.lower("name"), F.lower("qualified_name")
+    if wildcard:
+        return low.like(f"%{q}%") | F.coalesce(qlow.like(f"%{q}%"), F.lit(False))
+    return F.contains(low, F.lit(q)) | F.coalesce(F.contains(qlow, F.lit(q)), F.lit(False))
+
+
 def search_symbol(nodes: DataFrame, query: str, kind: str | None = None, limit: int = MAX_ROWS, wildcard: bool = False) -> DataFrame:
     """Symbols whose name or qualified name contains the query, in any letter case.
 
@@ -51,15 +65,12 @@ def search_symbol(nodes: DataFrame, query: str, kind: str | None = None, limit:
     q = query.lower()
     rows = nodes.where(F.col("type") == kind) if kind else nodes
     low, qlow = F.lower("name"), F.lower("qualified_name")
-    hit = (low.like(f"%{q}%") | F.coalesce(qlow.like(f"%{q}%"), F.lit(False))) if wildcard else (F.contains(low, F.lit(q)) | F.coalesce(F.contains(qlow, F.lit(q)), F.lit(False)))
     rank = F.when(low == q, 0).when(F.startswith(low, F.lit(q)), 1).when(F.coalesce(F.endswith(qlow, F.lit("." + q)), F.lit(False)), 2).otherwise(3)
-    return rows.where(hit).withColumn("rank", rank).orderBy("rank", F.length("name"), "id").limit(limit).select("rank", *BRIEF)
+    return rows.where(search_condition(query, wildcard)).withColumn("rank", rank).orderBy("rank", F.length("name"), "id").limit(limit).select("rank", *BRIEF)
 
 
 def search_simple(nodes: DataFrame, query: str, limit: int = 100) -> DataFrame:
-    q = F.lit(query.lower())
-    hit = F.contains(F.lower("name"), q) | F.coalesce(F.contains(F.lower("qualified_name"), q), F.lit(False))
-    return nodes.where(hit).orderBy(F.length("name"), "id").limit(limit).select(*BRIEF)
+    return nodes.where(search_condition(query)).orderBy(F.length("name"), "id").limit(limit).select(*BRIEF)
 
 
 def list_nodes(nodes: DataFrame, kind: str | None = None, language: str | None = None, limit: int = 100, offset: int = 0) -> DataFrame:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from graphweave.config import MAX_ROWS
 from graphweave.operators.lookup import top_per_group
 
+def _of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of a set of ids. A semi-join, which the planner moves below the choice of current rows."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
 _SIDES = {"callers": ("target_id", "source_id"), "callees": ("source_id", "target_id")}
 
 
@@ -27,7 +32,7 @@ def call_neighbours(nodes: DataFrame, edges: DataFrame, name: str, side: str, li
     near, far = _SIDES[side]
     calls = edges.where("type = 'CALLS'").select(F.col(near).alias("seed"), F.col(far).alias("id"))
     hit = calls.join(F.broadcast(seeds(nodes, name).withColumnRenamed("id", "seed")), "seed")
-    found = hit.join(nodes.select("id", "name", "type", "file_path", "start_line"), "id")
+    found = hit.join(_of(nodes.select("id", "name", "type", "file_path", "start_line"), hit), "id")
     return found.orderBy("file_path", "id", "seed").limit(limit).select("seed", "id", "name", "type", "file_path", "start_line")
 
 
@@ -103,7 +108,7 @@ def hierarchy_relations(nodes: DataFrame, edges: DataFrame, name: str, limit: in
 
     def side(near: str, far: str, relation: str) -> DataFrame:
         hit = links.join(first, links[near] == first["id"], "left_semi").select(F.col(near).alias("class_id"), F.col(far).alias("id"))
-        return hit.join(who, "id").orderBy("name", "id", "class_id").limit(limit).select(F.lit(relation).alias("relation"), "class_id", "id", "name", "file_path")
+        return hit.join(_of(who, hit), "id").orderBy("name", "id", "class_id").limit(limit).select(F.lit(relation).alias("relation"), "class_id", "id", "name", "file_path")
 
     return side("source_id", "target_id", "parent").unionByName(side("target_id", "source_id", "child"))
 
@@ -112,7 +117,7 @@ def hierarchy_methods(nodes: DataFrame, edges: DataFrame, name: str, limit: int
     first = F.broadcast(seeds(nodes, name, kind="CLASS").withColumnRenamed("id", "source_id"))
     held = edges.where(F.col("type").isin("DEFINES", "CONTAINS")).join(first, "source_id").select("source_id", F.col("target_id").alias("id"))
     members = nodes.where(F.col("type").isin("METHOD", "FUNCTION")).select("id", "name", "type", "signature", "start_line")
-    return held.join(members, "id").orderBy("start_line", "id", "source_id").limit(limit).select(F.col("source_id").alias("class_id"), "id", "name", "type", "signature", "start_line")
+    return held.join(_of(members, held), "id").orderBy("start_line", "id", "source_id").limit(limit).select(F.col("source_id").alias("class_id"), "id", "name", "type", "signature", "start_line")
 
 
 def definition_calls(nodes: DataFrame, edges: DataFrame, hits: DataFrame, each: int = 10) -> DataFrame:

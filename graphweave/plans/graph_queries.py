@@ -6,7 +6,7 @@ with most symbols), so that a query asks the same at every scale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphweave.operators import live, lookup, stats, traversal
@@ -20,8 +20,8 @@ class Graph:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def nodes(self, *columns: str) -> DataFrame:
-        return live.live_nodes(table(self.spark, self.root, "nodes"), table(self.spark, self.root, "lib_nodes"), columns=list(columns) or None)
+    def nodes(self, *columns: str, match: Column | None = None) -> DataFrame:
+        return live.live_nodes(table(self.spark, self.root, "nodes"), table(self.spark, self.root, "lib_nodes"), columns=list(columns) or None, match=match)
 
     def edges(self, *columns: str) -> DataFrame:
         return live.live_edges(table(self.spark, self.root, "edges"), columns=list(columns) or None)
@@ -159,18 +159,19 @@ _RANK = "CASE WHEN lower(name) = w THEN 0 WHEN starts_with(lower(name), w) THEN
 
 @query("search_symbol_ranked", f"""SELECT {_RANK} AS rank, {BRIEF} FROM n, (SELECT lower(q) AS w FROM p) WHERE contains(lower(name), w) OR contains(lower(qualified_name), w) ORDER BY rank, length(name), id LIMIT 20""", COMMON)
 def _(g):
-    return lookup.search_symbol(g.nodes(*lookup.BRIEF), g.common_name())
+    name = g.common_name()
+    return lookup.search_symbol(g.nodes(*lookup.BRIEF, match=lookup.search_condition(name)), name)
 
 
 @query("search_symbol_typed", f"""SELECT {_RANK} AS rank, {BRIEF} FROM n, (SELECT lower(q) AS w FROM p) WHERE type = 'METHOD' AND (contains(lower(name), w) OR contains(lower(qualified_name), w)) ORDER BY rank, length(name), id LIMIT 20""",
        "p AS (SELECT 'schema' AS q)")
 def _(g):
-    return lookup.search_symbol(g.nodes(*lookup.BRIEF), "Schema", kind="METHOD")
+    return lookup.search_symbol(g.nodes(*lookup.BRIEF, match=lookup.search_condition("Schema")), "Schema", kind="METHOD")
 
 
 @query("search_simple", f"SELECT {BRIEF} FROM n WHERE contains(lower(name), 'ledger') OR contains(lower(qualified_name), 'ledger') ORDER BY length(name), id LIMIT 100")
 def _(g):
-    return lookup.search_simple(g.nodes(*lookup.BRIEF), "ledger")
+    return lookup.search_simple(g.nodes(*lookup.BRIEF, match=lookup.search_condition("ledger")), "ledger")
 
 
 @query("list_nodes_page", f"SELECT {BRIEF} FROM n WHERE type = 'METHOD' AND language = 'python' ORDER BY file_path, start_line, id LIMIT 50 OFFSET 25")

@@ -1,6 +1,10 @@
 import datetime as dt
+import os
+
+import pytest
 
 from graphweave.operators import build, diff, live, lookup, maintain, semantic, text, traversal, tree
+from graphweave.plans import registry
 from graphweave.sources import repo
 from graphweave.streaming import changes
 
@@ -126,3 +130,26 @@ def test_semantic_filter_after_oversampling(spark):
     assert [r["vec_id"] for r in semantic.semantic_topk(df, [0.0, 1.0], 2, kind=1, oversample=2).collect()] == [19, 17]
     assert semantic.semantic_topk(df, [0.0, 1.0], 3).count() == 3
     assert abs(float((semantic.hash_vector("some words") ** 2).sum()) - 1) < 1e-9 and not semantic.hash_vector("").any()
+
+
+NEEDED = {
+    "get_function": "StringEndsWith(name", "get_definition": "StringEndsWith(name", "list_nodes_page": "EqualTo(type,METHOD)", "node_by_id": "EqualTo(id,", "list_edges": "EqualTo(type,INHERITS)", "file_symbols": "EqualTo(file_path,",
+    "get_callers": "EqualTo(name,", "get_callees": "EqualTo(name,", "file_map_counts": "EqualTo(file_path,", "context_symbols": "EqualTo(file_path,", "context_incoming": "EqualTo(file_path,", "hierarchy_methods": "EqualTo(name,",
+}
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/nodes.parquet"), reason="no tables here")
+@pytest.mark.parametrize("name", NEEDED)
+def test_filters_reach_the_scan_before_current_rows_are_picked(spark, name):
+    df = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    pushed = [line for line in df._jdf.queryExecution().explainString(mode).splitlines() if line.startswith("PushedFilters")]
+    assert any(NEEDED[name] in line for line in pushed)
+
+
+def test_a_search_keeps_the_newest_row_of_what_it_matches(spark):
+    rows = [("a", "FUNCTION", "load", "x.old.load", 1), ("a", "FUNCTION", "load", "x.load", 2), ("b", "FUNCTION", "save", None, 1), (None, "CLASS", "old", "old", 1)]
+    nodes = spark.createDataFrame(rows, "id string, type string, name string, qualified_name string, updated_at int")
+    found = live.live_nodes(nodes, columns=["name", "qualified_name"], match=lookup.search_condition("old"))
+    assert [tuple(r) for r in found.collect()] == [("a", "load", "x.load")]
+    assert found.where(lookup.search_condition("old")).count() == 0
