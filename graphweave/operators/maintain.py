@@ -1,14 +1,12 @@
 """Keeping tables current: hash differences, affected files, upserts, deletes with cascade and the audit log.
 
 Plain Parquet has no MERGE, so an upsert is the union of old and new with the newest row of each
-key kept; writers replace a folder only after the new one is complete.
+key kept; graphweave/store.py says how tables change on disk.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphweave.operators.live import newest
@@ -83,29 +81,6 @@ def drop_file_deps(deps: DataFrame, paths: DataFrame, rebuilt: bool) -> DataFram
     return out.select("importer", "importee")
 
 
-def swap_in(df: DataFrame, target: str) -> None:
-    """Writes beside the target, then renames: readers see the old rows or the new ones, never a part."""
-    spark = df.sparkSession
-    side = f"{target}.{uuid.uuid4().hex}"
-    df.write.parquet(side)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    old = f"{target}.{uuid.uuid4().hex}.old"
-    if fs.exists(path(target)):
-        fs.rename(path(target), path(old))
-    fs.rename(path(side), path(target))
-    if fs.exists(path(old)):
-        fs.delete(path(old), True)
-
-
-def clear(spark: SparkSession, root: str, names: list[str]) -> None:
-    """Empties tables but keeps their columns, as on a switch to another repository."""
-    for name in names:
-        df = spark.read.parquet(f"{root}/{name}.parquet")
-        swap_in(spark.createDataFrame([], df.schema), f"{root}/{name}.parquet")
-
-
 def run_states(events: DataFrame) -> DataFrame:
     """The audit log's current rows: of each run id the last event, messages cut at 2,000 characters."""
     return newest(events.withColumn("error_message", F.substring("error_message", 1, 2000)), "id", "at")

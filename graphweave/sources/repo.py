@@ -40,15 +40,8 @@ def wanted(path: Column, size: Column | None = None) -> Column:
     return rule & (size <= config.MAX_FILE_BYTES) if size is not None else rule
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, repo_path, language, content, sha256, file_size, scanned_at) of the files below a folder.
-
-    Bytes that are no UTF-8 give null content, their hash stays. Unreadable files are left to the
-    file source. Rules apply to the path below root.
-    """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    full = F.regexp_replace(F.regexp_replace("path", r"^file:(//)?", ""), "%20", " ")
+def _rows_of(files: DataFrame, base: str) -> DataFrame:
+    full = F.regexp_replace("path", r"^file:(//)?", "")
     rows = files.withColumn("file_path", full).withColumn("below", F.expr(f"substring(file_path, {len(base) + 2})"))
     kept = rows.where(wanted(F.col("below"), F.col("length")))
     return kept.select(
@@ -62,12 +55,49 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, repo_path, language, content, sha256, file_size, scanned_at) of the files below a folder.
+
+    Bytes that are no UTF-8 give null content, their hash stays. Unreadable files are left to the
+    file source. Rules apply to the path below root.
+    """
+    base = root.rstrip("/")
+    return _rows_of(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base), base)
+
+
+def read_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """As scan, of these files only; those that the rules leave out are left out."""
+    base = root.rstrip("/")
+    if not paths:
+        return scan_schema(spark)
+    escaped = [re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths]  # paths aren't patterns
+    return _rows_of(spark.read.format("binaryFile").load(escaped), base)
+
+
+def scan_schema(spark: SparkSession) -> DataFrame:
+    """No files."""
+    return spark.createDataFrame([], "file_path string, repo_path string, language string, content string, sha256 string, file_size long, scanned_at timestamp_ntz")
+
+
+def walk(spark: SparkSession, root: str) -> DataFrame:
+    """(file_path, language, file_size) of the wider walk, which only lists files: more languages, fewer folders left out, nothing read."""
+    base = root.rstrip("/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length")
+    rows = files.select(F.regexp_replace("path", r"^file:(//)?", "").alias("file_path"), F.col("length").alias("file_size"))
+    folders = F.split(F.expr(f"substring(file_path, {len(base) + 2})"), "/")
+    above = F.slice(folders, F.lit(1), F.size(folders) - 1)
+    kept = rows.where(~F.exists(above, lambda d: d.isin(*config.WIDE_IGNORED_FOLDERS)))
+    return kept.select("file_path", language(F.col("file_path"), config.WIDE_EXTENSIONS).alias("language"), "file_size").where("language <> 'unknown'")
+
+
 def language_histogram(files: DataFrame, extensions: dict[str, str] = config.EXTENSIONS) -> DataFrame:
     return files.select(language(F.col("file_path"), extensions).alias("language"), "file_path").distinct().groupBy("language").agg(F.count(F.lit(1)).alias("files"))
 
 
 def git_diff(repo: str, ref: str = "HEAD", timeout: int = 30) -> str:
-    """The unified diff, without context lines, of a checkout against a ref. Raises on any failure of git."""
+    """The unified diff, without context lines, of a checkout against a ref. Raises on any failure of git, and on a ref that would be an option."""
+    if ref.startswith("-"):
+        raise ValueError(f"{ref!r} is no ref")
     done = subprocess.run(["git", "-C", repo, "diff", "--unified=0", ref, "--"], capture_output=True, text=True, timeout=timeout, check=False)
     if done.returncode:
         raise RuntimeError(done.stderr.strip() or f"git ended with {done.returncode}")

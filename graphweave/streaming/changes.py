@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from graphweave.config import DEBOUNCE_MS
+from graphweave.config import DEBOUNCE_MS, IGNORED_FOLDERS
 from graphweave.sources.repo import wanted
 
+#: Files of a micro-batch that are named one by one; more are found by a scan.
+MANY_PATHS = 1_000
 EVENT = "kind string, path string, dest string, ts timestamp"
 
 
@@ -58,15 +62,45 @@ def index_stream(bursts: DataFrame, index: Callable[[DataFrame, int], None], che
 
 
 def index_on_change(engine, root: str) -> Callable[[DataFrame, int], None]:
-    """For index_stream: an incremental index of root for each micro-batch that holds a burst. Running it again changes nothing."""
+    """For index_stream: brings the files of each micro-batch up to date, and no others but those that import them. Running it again changes nothing."""
 
     def index(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+        last = batch.groupBy("path").agg(F.max_by("deleted", "first").alias("deleted"))
+        few = last.limit(MANY_PATHS + 1).collect()
+        if len(few) > MANY_PATHS:
             engine.index(root)
+        elif few:
+            engine.index_paths(root, [r["path"] for r in few if not r["deleted"]], [r["path"] for r in few if r["deleted"]])
 
     return index
 
 
+def folder_events(spark: SparkSession, feed: str) -> DataFrame:
+    """The events that writers of a feed folder leave there as JSON lines (kind, path, dest, ts), as a stream."""
+    return spark.readStream.schema(EVENT).json(feed)
+
+
+def poll(spark: SparkSession, root: str, seen: dict[str, tuple[int, int]]) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
+    """(events, what is there now) of a folder against what was there: created, modified and deleted files by time and length.
+
+    For one folder on the driver's machine; its listing must fit there.
+    """
+    now: dict[str, tuple[int, int]] = {}
+    for folder, below, names in os.walk(root):
+        below[:] = [d for d in below if d not in IGNORED_FOLDERS and not d.startswith(".")]
+        for name in names:
+            path = os.path.join(folder, name)
+            try:
+                s = os.stat(path)
+            except OSError:
+                continue  # gone again
+            now[path] = s.st_mtime_ns, s.st_size
+    at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    rows = [("created" if p not in seen else "modified", p, None, at) for p, s in now.items() if seen.get(p) != s]
+    rows += [("deleted", p, None, at) for p in seen if p not in now]
+    return spark.createDataFrame(sorted(rows), EVENT), now
+
+
 class Watch:
     """Start, stop and state of one change feed."""
 

@@ -64,6 +64,100 @@ def test_index_twice_incremental_equals_full_and_deletion(spark, tmp_path):
         e.call("nosuch")
 
 
+def test_a_saved_file_reads_itself_and_its_importers_only(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    write(root, {"p/a.py": A, "p/b.py": B, "p/other.py": "def lone():\n    pass\n", "p/c%20d.py": "def odd():\n    pass\n"})
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(str(root))
+    assert e.tables.table("nodes").where("file_path like '%c\\%20d.py'").count() == 2
+    write(root, {"p/b.py": B + "\n\ndef more():\n    return helper(1)\n", "p/other.py": "def changed():\n    pass\n"})
+    read = []
+    whole = E.repo.read_files
+    monkeypatch.setattr(E.repo, "read_files", lambda s, r, paths: read.extend(paths) or whole(s, r, paths))
+    monkeypatch.setattr(E.repo, "scan", lambda *_: pytest.fail("the whole root was scanned"))
+    before = e.tables.listed()["nodes"]
+    run = e.index_paths(str(root), [str(root / "p/b.py")])
+    assert sorted(os.path.basename(p) for p in read) == ["a.py", "b.py"] and run["files_indexed"] == 2
+    names = {r["name"] for r in e.table("nodes").collect()}
+    assert "more" in names and "lone" in names and "changed" not in names
+    after = e.tables.listed()["nodes"]
+    assert sum(before[b] == after.get(b) for b in before) >= len(before) - 2  # other buckets stay as they are
+    os.remove(root / "p/b.py")
+    e.index_paths(str(root), [], [str(root / "p/b.py")])
+    monkeypatch.undo()
+    write(root, {"p/other.py": "def lone():\n    pass\n"})
+    fresh = Engine(spark, str(tmp_path / "other"))
+    fresh.index(str(root))
+    assert graph(e) == graph(fresh)
+
+
+def test_readers_see_one_version_whole_and_runs_exclude_each_other(spark, tmp_path):
+    root = tmp_path / "repo"
+    write(root, {"a.py": A, "b.py": B})
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(str(root))
+    old = e.tables.version()
+    kept = e.tables.table("nodes", version=old)
+    n = kept.count()
+    write(root, {"a.py": "x = 1\n"})
+    commit, seen = e.tables.commit, []
+    def watched(changed, base):
+        seen.append((e.tables.table("nodes").count(), e.status()["status"]))
+        with pytest.raises(E.Busy):
+            e.index(str(root))
+        return commit(changed, base)
+    e.tables.commit = watched
+    e.index(str(root))
+    assert seen == [(n, "RUNNING")] and e.tables.version() == old + 1 and kept.count() == n
+    with pytest.raises(E.Conflict):
+        commit({}, old)
+    # a run that died is reset, then another one may start
+    run = e.status()
+    e._append(run | {"id": run["id"] + 1, "status": "RUNNING", "completed_at": None, "started_at": E._now() - E.dt.timedelta(seconds=400)})
+    e.index(str(root))
+    states = {r["id"]: r["status"] for r in e.runs().collect()}
+    assert states[run["id"] + 1] == "FAILED" and states[run["id"] + 2] == "COMPLETED"
+    # another repository empties the store
+    write(tmp_path / "second", {"z.py": "def z():\n    pass\n"})
+    assert e.index(str(tmp_path / "second"))["run_type"] == "FULL"
+    assert {r["name"] for r in e.table("nodes").collect()} == {"z.py", "z"}
+
+
+def test_listings_and_roots(spark, tmp_path, monkeypatch):
+    root = tmp_path / "repo"
+    write(root, {"a.py": A, "b.py": B, "x.go": "package x", ".env/y.go": "package y", "bin/z.go": "package z"})
+    e = Engine(spark, str(tmp_path / "store"))
+    assert e.status() is None and e.list_nodes() == [] and e.subgraph("a.py")["found"] is False
+    e.index(str(root))
+    nodes = e.list_nodes("function")
+    assert {r["name"] for r in nodes} == {"first", "helper"} and e.node(nodes[0]["id"])["name"] == nodes[0]["name"] and e.node("no") is None
+    assert e.search("HELP")[0]["name"] == "helper" and len(e.list_edges(type="CALLS")) == 2 and e.subgraph("a.py")["edges"]
+    assert {os.path.basename(r["file_path"]) for r in E.repo.walk(spark, str(root)).collect()} == {"a.py", "b.py", "x.go"}
+    assert "is no ref" in e.get_diff_context(ref="--output=x")["error"]
+    assert e._root() == str(root)
+    (tmp_path / "second/.git").mkdir(parents=True)
+    monkeypatch.setenv("GRAPHWEAVE_REPO_PATH", str(tmp_path / "second"))
+    assert e._root() == str(tmp_path / "second") and Engine(spark, str(tmp_path / "s2"), "/given")._root() == "/given"
+    many = "".join(f"diff --git a/{root}/f{i:02d}.py b/{root}/f{i:02d}.py\n" + "".join(f"@@ -1 +{k} @@\n" for k in range(1, 9)) for i in range(12))
+    found = e.get_diff_context(text=many)["files"]
+    assert len(found) == 10 and all(len(f["ranges"]) == 5 for f in found)
+    kinds = {f["function"]["name"]: f["function"]["parameters"]["properties"] for f in E.as_functions()}
+    assert kinds["search_symbol"]["type"]["enum"] == list(E.SYMBOL_TYPES) and "repo_path" in kinds["get_diff_context"]
+
+
+def test_polling_a_folder_gives_events(spark, tmp_path):
+    from graphweave.streaming import changes
+
+    write(tmp_path, {"a.py": "x = 1\n", ".git/h": "x", "b.py": "y = 1\n"})
+    events, seen = changes.poll(spark, str(tmp_path), {})
+    assert sorted((r["kind"], os.path.basename(r["path"])) for r in events.collect()) == [("created", "a.py"), ("created", "b.py")]
+    write(tmp_path, {"a.py": "x = 1234\n"})
+    os.remove(tmp_path / "b.py")
+    events, seen = changes.poll(spark, str(tmp_path), seen)
+    assert sorted((r["kind"], os.path.basename(r["path"])) for r in events.collect()) == [("deleted", "b.py"), ("modified", "a.py")]
+    assert changes.poll(spark, str(tmp_path), seen)[0].count() == 0
+
+
 def test_catalogue_forms_agree():
     names = list(E.CATALOGUE)
     assert len(names) == 13
