@@ -120,12 +120,31 @@ x AS (SELECT importer, import_path, base || CASE WHEN rest = '' THEN '' ELSE '/'
   (VALUES (0, '.py'), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.jsx'), (5, '/index.py'), (6, '/index.ts'), (7, '/index.tsx'), (8, '/index.js'), (9, '/index.jsx'), (10, '/__init__.py')) t(e, ending))"""
 
 
-@query("import_resolution", "SELECT importer, import_path, path AS importee FROM x WHERE path IN (SELECT file_path FROM source_files) QUALIFY row_number() OVER (PARTITION BY importer, import_path ORDER BY priority, path) = 1", _IMPORTS)
+#: Besides the imports as parsed, relative ones made from the files that import each other: up to the nearest folder that
+#: holds both, with dots for Python and slashes else.
+_RELATIVE = r"""rp AS (SELECT file_path, max(repo_path) AS repo_path FROM source_files GROUP BY 1),
+up_ AS (SELECT importer, importee, k, array_to_string(string_split(importer, '/')[1 : len(string_split(importer, '/')) - 1 - k], '/') AS base FROM (SELECT *, unnest(range(0, len(string_split(importer, '/')) - 2)) AS k FROM deps)),
+near_ AS (SELECT importer, k, regexp_replace(importee[length(base) + 2 :], '\.[^./]*$', '') AS stem FROM up_ WHERE starts_with(importee, base || '/') QUALIFY row_number() OVER (PARTITION BY importer, importee ORDER BY k) = 1),
+im AS (SELECT file_path AS importer, repo_path, unnest(import_paths) AS import_path FROM parse_results LEFT JOIN rp USING (file_path)
+  UNION SELECT importer, repo_path, CASE WHEN lower(importer) LIKE '%.py' THEN repeat('.', k::INTEGER + 1) || replace(stem, '/', '.') WHEN k = 0 THEN './' || stem ELSE repeat('../', k::INTEGER) || stem END FROM near_ LEFT JOIN rp ON rp.file_path = importer),
+"""
+
+
+@query("import_resolution", "SELECT importer, import_path, path AS importee FROM x WHERE path IN (SELECT file_path FROM source_files) QUALIFY row_number() OVER (PARTITION BY importer, import_path ORDER BY priority, path) = 1", _RELATIVE + _IMPORTS[_IMPORTS.index("s AS ("):], live_tables=True)
 def _(g):
     files = _t(g, "source_files")
-    repos = files.groupBy("file_path").agg(F.max("repo_path").alias("repo_path"))
-    imports = _t(g, "parse_results").select("file_path", F.explode("import_paths").alias("import_path")).distinct().join(repos, "file_path", "left")
-    return build.resolve_imports(imports.withColumnRenamed("file_path", "importer"), files.select(F.col("file_path").alias("path")))
+    repos = files.groupBy(F.col("file_path").alias("importer")).agg(F.max("repo_path").alias("repo_path"))
+    parsed = _t(g, "parse_results").select(F.col("file_path").alias("importer"), F.explode("import_paths").alias("import_path"))
+    parts = F.split("importer", "/")
+    steps = g.deps().select("importer", "importee", F.explode(F.sequence(F.lit(0), F.size(parts) - 3)).alias("k"))
+    base = F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1 - F.col("k")), "/")
+    near = steps.withColumn("base", base).where(F.startswith("importee", F.concat("base", F.lit("/")))).groupBy("importer", "importee").agg(F.min_by(F.struct("k", "base"), "k").alias("s"))
+    stem = F.regexp_replace(F.expr("substring(importee, length(s.base) + 2)"), r"\.[^./]*$", "")
+    k = F.col("s.k")
+    path = F.when(F.lower("importer").like("%.py"), F.concat(F.expr("repeat('.', s.k + 1)"), F.translate(stem, "/", "."))).when(k == 0, F.concat(F.lit("./"), stem)).otherwise(F.concat(F.expr("repeat('../', s.k)"), stem))
+    made = near.select("importer", path.alias("import_path"))
+    imports = parsed.unionByName(made).distinct().join(repos, "importer", "left")
+    return build.resolve_imports(imports, files.select(F.col("file_path").alias("path")))
 
 
 #: Imports made from the files that import each other, as dotted paths from the repository or from its src folder.
@@ -224,6 +243,29 @@ def _(g):
     return maintain.upsert(old.select(*body), new, keep=["created_at"], stamp="updated_at")
 
 
+_NEW_EDGES = """nw AS (SELECT id, source_id, target_id, type, '{\"n\": 2}' AS metadata, 'moved/' || file_path AS file_path, TIMESTAMP '2030-01-01' AS created_at FROM e WHERE type = 'USES'
+  UNION ALL SELECT 'new-' || id, target_id, source_id, 'CALLS', NULL, NULL, TIMESTAMP '2030-01-01' FROM e WHERE type = 'INHERITS')"""
+
+
+@query("upsert_edges", """SELECT id, source_id, target_id, type, metadata, file_path, created_at FROM e WHERE id NOT IN (SELECT id FROM nw)
+UNION ALL SELECT nw.id, nw.source_id, nw.target_id, nw.type, nw.metadata, nw.file_path, coalesce(e.created_at, nw.created_at) FROM nw LEFT JOIN e USING (id)""", _NEW_EDGES, live_tables=True)
+def _(g):
+    old = g.edges("source_id", "target_id", "type", "metadata", "file_path", "created_at")
+    at, none = F.lit("2030-01-01 00:00:00").cast("timestamp_ntz"), F.lit(None).cast("string")
+    again = old.where("type = 'USES'").withColumns({"metadata": F.lit('{"n": 2}'), "file_path": F.concat(F.lit("moved/"), "file_path"), "created_at": at})
+    swapped = old.where("type = 'INHERITS'").select(F.concat(F.lit("new-"), "id").alias("id"), F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"), F.lit("CALLS").alias("type"), none.alias("metadata"), none.alias("file_path"), at.alias("created_at"))
+    return maintain.upsert(old, again.unionByName(swapped), keep=["created_at"], stamp="created_at")
+
+
+@query("upsert_file_hashes", """SELECT path, sha256, file_size FROM fh WHERE length(path) % 4 <> 0 UNION ALL SELECT path, 'x' || sha256, file_size + 1 FROM fh WHERE length(path) % 4 = 0 UNION ALL SELECT path || '.new', sha256, file_size FROM fh WHERE length(path) % 6 = 0""", live_tables=True)
+def _(g):
+    old = g.files().select("path", "sha256", "file_size")
+    n = F.length("path")
+    changed = old.where(n % 4 == 0).select("path", F.concat(F.lit("x"), "sha256").alias("sha256"), (F.col("file_size") + 1).alias("file_size"))
+    added = old.where(n % 6 == 0).withColumn("path", F.concat("path", F.lit(".new")))
+    return maintain.upsert(old, changed.unionByName(added), key="path")
+
+
 @query("delete_cascade", """, gone AS (SELECT path FROM fh WHERE length(path) % 11 = 0), kn AS (SELECT id FROM n WHERE file_path NOT IN (SELECT path FROM gone))
 SELECT id, source_id, target_id, type FROM e WHERE (file_path IS NULL OR file_path NOT IN (SELECT path FROM gone)) AND source_id IN (SELECT id FROM kn) AND target_id IN (SELECT id FROM kn)""".lstrip(", "), "x_ AS (SELECT 1)", live_tables=True)
 def _(g):
@@ -263,6 +305,17 @@ def _(g):
 
 SQL["diff_overlap"] = SQL["diff_overlap"].replace("y_ AS (SELECT 1) rg", "rg")
 
+@query("diff_context", """rg AS (SELECT DISTINCT file_path, start_line + 2 AS lo, start_line + 6 AS hi FROM n WHERE type IN ('CLASS', 'FILE')),
+tc AS (SELECT file_path, count(DISTINCT id) AS symbols FROM n JOIN rg USING (file_path) WHERE type <> 'FILE' AND start_line <= hi AND end_line >= lo GROUP BY 1)
+SELECT DISTINCT file_path AS file, coalesce(symbols, 0) AS symbols FROM rg LEFT JOIN tc USING (file_path)""", "v_ AS (SELECT 1)", live_tables=True)
+def _(g):
+    nodes = g.nodes("name", "type", "file_path", "start_line", "end_line", "signature")
+    ranges = nodes.where("type in ('CLASS', 'FILE')").select(F.col("file_path").alias("file"), (F.col("start_line") + 2).alias("start_line"), (F.col("start_line") + 6).alias("end_line"))
+    return diff.diff_context(nodes, ranges)
+
+
+SQL["diff_context"] = SQL["diff_context"].replace("v_ AS (SELECT 1) rg AS", "rg AS")
+
 #: Every file's diff made from its symbols' lines, so that the parser has a whole corpus of diffs.
 _DIFFS = """df AS (SELECT file_path AS diff_id, 'diff --git a' || file_path || ' b' || file_path || chr(10) || 'index 1..2' || chr(10) || string_agg('@@ -' || start_line || ' +' || start_line || CASE WHEN start_line % 3 = 0 THEN '' ELSE ',' || (start_line % 4) END || ' @@ x', chr(10) ORDER BY start_line, id) AS text FROM n WHERE type <> 'FILE' GROUP BY 1),
 ln AS (SELECT diff_id, i, string_split(text, chr(10))[i] AS line FROM (SELECT *, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM df)),
@@ -373,11 +426,13 @@ def _(g):
     return semantic.stale(g.nodes("type"), _t(g, "node_embeddings"))
 
 
-@query("reindex_embeddings", None)
+@query("reindex_embeddings", """SELECT id AS node_id, 'hash-384' AS model, 384 AS dimensions, true AS unit FROM n WHERE type <> 'FILE'
+  AND id NOT IN (SELECT node_id FROM node_embeddings WHERE model = 'hash-384' AND len(vec) > 0)""", live_tables=True)
 def _(g):
     nodes = g.nodes("type", "qualified_name", "name", "signature", "docstring")
-    todo = semantic.stale(nodes, _t(g, "node_embeddings"))
-    return semantic.encode(nodes.join(todo, "id", "left_semi"))
+    todo = semantic.stale(nodes, _t(g, "node_embeddings"), "hash-384")
+    rows = semantic.encode(nodes.join(todo, "id", "left_semi"), "hash-384")
+    return rows.select("node_id", "model", F.size("vec").alias("dimensions"), (F.abs(semantic.dot(F.col("vec"), F.col("vec")) - 1) < 1e-5).alias("unit"))
 
 
 # ---------------------------------------------------------------- change feed

@@ -28,7 +28,12 @@ def p3_hierarchy(spark: SparkSession, root: str) -> DataFrame:
     return trees.select("node", "root", "depth", F.when(tree, F.concat_ws("/", "path")).alias("path"), F.concat_ws(",", "cycle").alias("cycle"), "on_cycle", "n_descendants")
 
 
-QUERIES = {"p2_found": p2_found, "p2_key_profile": p2_key_profile, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy}
+def extra_parents(spark: SparkSession, root: str) -> DataFrame:
+    """Links that are left out of trees, here of CALLS rows, where symbols have many targets."""
+    return hierarchy.extra_parents(table(spark, root, "edges"), kind="CALLS")
+
+
+QUERIES = {"extra_parents": extra_parents, "p2_found": p2_found, "p2_key_profile": p2_key_profile, "p3_found": p3_found, "p3_hierarchy": p3_hierarchy}
 
 _REACH = """WITH RECURSIVE links AS (
   SELECT source_id AS s, min(target_id) AS t FROM edges
@@ -36,6 +41,8 @@ _REACH = """WITH RECURSIVE links AS (
 reach AS (SELECT s, t FROM links UNION SELECT r.s, l.t FROM reach r JOIN links l ON r.t = l.s)"""
 
 SQL = {
+    "extra_parents": """SELECT DISTINCT source_id AS node, target_id AS parent FROM edges WHERE type = 'CALLS' AND source_id IS NOT NULL AND target_id IS NOT NULL
+  QUALIFY target_id > min(target_id) OVER (PARTITION BY source_id)""",
     "p2_found": """SELECT target_id, type FROM edges GROUP BY 1, 2
 HAVING count(*) >= 0.01 * (SELECT count(*) FROM edges)""",
     "p2_key_profile": """SELECT target_id, type, count(*) AS "rows", count(DISTINCT source_id) AS members FROM edges GROUP BY 1, 2""",
