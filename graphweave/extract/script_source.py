@@ -1,197 +1,401 @@
-"""JavaScript and TypeScript files without a grammar: comments and strings are blanked, braces matched, declarations read off.
+"""JavaScript and TypeScript files by a tokenizer and a descent over declarations.
 
-Read are the declared constructs: classes with members, functions, constants bound to functions,
-interfaces, type aliases, imports and exports, and calls within bodies.
+The tokenizer knows comments, strings, templates and regular expressions, so that brackets pair up;
+the reader then walks statement by statement over the tokens and passes over what it doesn't declare.
+Read are classes with members, functions, constants bound to functions, other variables, interfaces,
+type aliases, imports and exports, and calls within bodies. Classes and functions without a name,
+which only a default export can have, are called default.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 
 from graphweave.extract.records import Parsed
 
-_HIDE = re.compile(
-    r"""//[^\n]*|/\*[\s\S]*?\*/|'(?:[^'\\\n]|\\.)*'|"(?:[^"\\\n]|\\.)*"|`(?:[^`\\]|\\[\s\S])*`|(?<=[=(,:\[!&|?{};\n])\s*/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*"""
+_TOKEN = re.compile(
+    r"""(?P<space>\s+)|(?P<comment>//[^\n]*|/\*[\s\S]*?\*/)
+|(?P<name>\#?[A-Za-z_$\x80-\U0010ffff][\w$\x80-\U0010ffff]*)
+|(?P<num>\d[\w.]*)
+|(?P<str>'(?:[^'\\\n]|\\[\s\S])*'|"(?:[^"\\\n]|\\[\s\S])*")
+|(?P<op>=>|\?\.(?!\d)|\.\.\.|[=!]==?|\+\+|--|&&=?|\|\|=?|\?\?=?|[-+*/%&|^<>]=|.)""",
+    re.X | re.S,
 )
-_DECLARED = re.compile(
-    r"""(?mx)^[ \t]*(?P<export>export[ \t]+(?:default[ \t]+)?)?(?:declare[ \t]+)?(?:
-      (?:abstract[ \t]+)?class[ \t]+(?P<cls>[\w$]+)
-    | (?:async[ \t]+)?function[ \t]*\*?[ \t]*(?P<fn>[\w$]+)
-    | (?:const|let|var)[ \t]+(?P<var>[\w$]+)(?=[^=;\n]*=(?!=))
-    | interface[ \t]+(?P<iface>[\w$]+)
-    | type[ \t]+(?P<alias>[\w$]+)[^=\n;({]*=
-    )"""
-)
-_MEMBER = re.compile(r"(?m)(?:^|(?<=[{};]))[ \t]*(?:(?:public|private|protected|static|abstract|readonly|override|async|get|set)[ \t]+)*\*?[ \t]*(?P<name>#?[\w$]+)[ \t]*\??[ \t]*(?=[(<])")
-_CALL = re.compile(r"(?<![\w$.])((?:this\.|super\.)?[\w$]+(?:\??\.[\w$]+)*)\s*\(")
-_NO_CALL = frozenset("if for while switch catch return typeof function await new throw delete void in of instanceof else do case super import async yield".split())
+_REGEX = re.compile(r"/(?![*/])(?:[^/\\\n\[]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*")
+_OPEN, _CLOSE = {"(": ")", "[": "]", "{": "}"}, frozenset(")]}")
+# Words before which a slash starts a regular expression, that start a statement, that stand before a member, and that no call is named by.
+_BEFORE_REGEX = frozenset("return typeof case in of delete void instanceof new do else throw yield await".split())
+_STARTS = frozenset("export import const let var function class interface type enum abstract declare async namespace if for while do switch return throw try break continue".split())
+_MODIFIERS = frozenset("public private protected static abstract readonly override declare async accessor get set".split())
+_NO_CALL = frozenset("if for while switch catch return typeof function await new throw delete void in of instanceof else do case super import async yield with".split())
 
 
-def hide(text: str) -> str:
-    """The text with comments, strings and regular expressions blanked, every place kept."""
-    return _HIDE.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+class _Tokens:
+    """The tokens of a text: kind, text and place of each, and the partner of each bracket."""
 
+    def __init__(self, text: str):
+        self.kind: list[str] = []
+        self.val: list[str] = []
+        self.start: list[int] = []
+        self.end: list[int] = []
+        self.pair: dict[int, int] = {}
+        self.sound = True
+        self._run(text)
 
-def _closing(masked: str) -> dict[int, int]:
-    pairs, stack = {}, []
-    for m in re.finditer(r"[(){}\[\]]", masked):
-        if m.group() in "({[":
-            stack.append(m.start())
-        elif stack:
-            pairs[stack.pop()] = m.start()
-    return pairs
+    def _run(self, text: str) -> None:
+        at, size = 0, len(text)
+        stack: list[int] = []
+        while at < size:
+            if text[at] == "`":
+                end = self._template(text, at)
+                self._add("str", text, at, end)
+                at = end
+                continue
+            m = _TOKEN.match(text, at)
+            kind, end = m.lastgroup, m.end()
+            if kind in ("space", "comment"):
+                at = end
+                continue
+            if text[at] == "/" and self._regex_may_start():
+                m = _REGEX.match(text, at) or m
+                end = m.end()
+                kind = "op" if m.re is _TOKEN else "str"
+            val = text[at:end]
+            if kind == "op" and val in _OPEN:
+                stack.append(len(self.val))
+            elif kind == "op" and val in _CLOSE:
+                if stack and _OPEN[self.val[stack[-1]]] == val:
+                    i = stack.pop()
+                    self.pair[i] = len(self.val)
+                else:
+                    self.sound = False
+            self._add(kind, text, at, end)
+            at = end
+        self.sound &= not stack
 
+    def _add(self, kind: str, text: str, at: int, end: int) -> None:
+        self.kind.append(kind)
+        self.val.append(text[at:end])
+        self.start.append(at)
+        self.end.append(end)
 
-def _depths(masked: str) -> list[tuple[int, int]]:
-    """(place, depth of braces from there on), in order."""
-    out, depth = [(0, 0)], 0
-    for m in re.finditer(r"[{}]", masked):
-        depth += 1 if m.group() == "{" else -1
-        out.append((m.end(), depth))
-    return out
+    def _regex_may_start(self) -> bool:
+        if not self.val:
+            return True
+        last = self.val[-1]
+        return last in _BEFORE_REGEX if self.kind[-1] == "name" else self.kind[-1] == "op" and last not in (")", "]", "}")
+
+    def _template(self, text: str, at: int) -> int:
+        """The end of a template from its opening quote on, with whatever its fields hold."""
+        at += 1
+        while at < len(text):
+            c = text[at]
+            if c == "\\":
+                at += 2
+            elif c == "`":
+                return at + 1
+            elif text.startswith("${", at):
+                depth, at = 1, at + 2
+                while at < len(text) and depth:
+                    if text[at] == "`":
+                        at = self._template(text, at)
+                        continue
+                    m = _TOKEN.match(text, at)
+                    depth += (m.group() == "{") - (m.group() == "}")
+                    at = m.end()
+            else:
+                at += 1
+        return len(text)
 
 
 class _Reader:
     def __init__(self, path: str, text: str, language: str):
-        self.out = Parsed(path, language)
-        self.text, self.masked = text, hide(text)
-        self.pairs = _closing(self.masked)
-        self.starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        self.out, self.text = Parsed(path, language), text
+        self.t = _Tokens(text)
+        self.size = len(self.t.val)
+        self.lines = [0, *(m.end() for m in re.finditer("\n", text))]
+
+    # ------------------------------------------------------------ tokens
+
+    def val(self, i: int) -> str:
+        return self.t.val[i] if 0 <= i < self.size else ""
+
+    def is_name(self, i: int) -> bool:
+        return 0 <= i < self.size and self.t.kind[i] == "name"
 
     def line(self, at: int) -> int:
-        lo, hi = 0, len(self.starts)
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            lo, hi = (mid, hi) if self.starts[mid] <= at else (lo, mid)
-        return lo + 1
-
-    def doc(self, at: int) -> str | None:
-        """The block or line comment that ends right before a declaration."""
-        before = self.text[: self.starts[self.line(at) - 1]].rstrip()
-        if before.endswith("*/"):
-            start = before.rfind("/*")
-            body = re.sub(r"^/\*+|\*+/$", "", before[start:])
-            return "\n".join(re.sub(r"^\s*\*? ?", "", x) for x in body.split("\n")).strip()
-        return None
-
-    def body(self, at: int, end: int) -> tuple[int, int] | None:
-        """The braces of the first block from a place on, before a limit; parentheses and angle brackets are passed over."""
-        while at < end:
-            c = self.masked[at]
-            if c in "([" and at in self.pairs:
-                at = self.pairs[at] + 1
-            elif c == "{":
-                return (at, self.pairs[at]) if at in self.pairs else None
-            elif c == ";" or c == "}":
-                return None
-            else:
-                at += 1
-        return None
+        return bisect_right(self.lines, at)
+
+    def new_line(self, i: int) -> bool:
+        """Whether a token starts on another line than the one before ends on."""
+        return i > 0 and self.line(self.t.start[i]) > self.line(self.t.end[i - 1] - 1)
+
+    def past(self, i: int) -> int:
+        """The token after i, or after its closing partner where it opens a bracket."""
+        return self.t.pair.get(i, i) + 1
+
+    def past_angles(self, i: int) -> int:
+        """After a list in angle brackets that starts at i."""
+        depth = 0
+        while i < self.size:
+            depth += (self.val(i) == "<") - (self.val(i) == ">")
+            i = self.past(i)
+            if depth <= 0:
+                break
+        return i
+
+    def past_type(self, i: int, stop: frozenset[str]) -> int:
+        """After a type that starts at i: at the first stop word at this depth, or where another statement starts."""
+        begun = False
+        while i < self.size and not (begun and self.val(i) in stop) and self.val(i) not in (")", "]", "}"):
+            if begun and self.new_line(i) and self.val(i) in _STARTS:
+                break
+            begun = self.val(i) not in ("|", "&", "=>", "extends", "keyof")  # an object type may follow these
+            i = self.past_angles(i) if self.val(i) == "<" else self.past(i)
+        return i
+
+    def past_statement(self, i: int, end: int) -> int:
+        """After a statement that declares nothing itself: behind its ';' or before a word that starts another one."""
+        first = i
+        while i < end:
+            if self.val(i) == ";":
+                return i + 1
+            if i > first and self.val(i) in _STARTS and (self.new_line(i) or self.val(i - 1) == "}"):
+                return i
+            i = self.past(i)
+        return end
 
-    def calls(self, name: str, lo: int, hi: int) -> None:
-        for m in _CALL.finditer(self.masked, lo, hi):
-            target = m.group(1)
-            before = self.masked[max(0, m.start() - 12) : m.start()]
-            if target not in _NO_CALL and not re.search(r"\b(?:new|function)\s+$", before):
-                self.out.edge(name, target.replace("?.", "."), "CALLS")
+    # ------------------------------------------------------------ nodes
 
-    def code(self, lo: int, hi: int) -> str:
-        return self.text[self.starts[self.line(lo) - 1] : hi]
+    def doc(self, i: int) -> str | None:
+        """The block comment right before a token."""
+        before = self.text[: self.t.start[i]].rstrip()
+        if not before.endswith("*/"):
+            return None
+        body = re.sub(r"^/\*+|\*+/$", "", before[before.rfind("/*") :])
+        return "\n".join(re.sub(r"^\s*\*? ?", "", x) for x in body.split("\n")).strip()
 
-    def add(self, kind: str, name: str, parent: str, at: int, end: int, signature: str | None, relation: str) -> str:
-        qualified = self.out.node(kind, name, f"{parent}.{name}", self.line(at), self.line(max(at, end - 1)), signature, self.doc(at), self.code(at, end))
+    def add(self, kind: str, name: str, parent: str, first: int, last: int, signature: str | None, relation: str) -> str:
+        """A node over the tokens from first to before last."""
+        at, end = self.t.start[first], self.t.end[max(first, last - 1)]
+        code = self.text[self.lines[self.line(at) - 1] : end]
+        qualified = self.out.node(kind, name, f"{parent}.{name}", self.line(at), self.line(end - 1), signature, self.doc(first), code)
         self.out.edge(parent, qualified, relation)
         return qualified
 
-    def signature(self, name: str, at: int, until: int) -> str:
-        """name(params): type, from the parameters' opening parenthesis on."""
-        return name + re.sub(r"\s+", " ", self.text[at:until]).strip()
-
-    def callable_(self, kind: str, name: str, parent: str, at: int, open_: int, relation: str, limit: int) -> None:
-        if open_ < 0 or open_ not in self.pairs:
-            return
-        close = self.pairs[open_]
-        block = self.body(close + 1, limit)
-        end = block[1] + 1 if block else self._line_end(close)
-        head_end = block[0] if block else close + 1
-        head = self.text[open_:head_end].rstrip()
-        head = head.removesuffix("=>").rstrip()
-        qualified = self.add(kind, name, parent, at, end, self.signature(name, open_, open_ + len(head)), relation)
-        self.calls(qualified, (block[0] if block else close) + 1, end)
-
-    def _line_end(self, at: int) -> int:
-        m = re.compile(r";|\n").search(self.masked, at)
-        return m.end() if m else len(self.text)
+    def calls(self, owner: str, i: int, end: int) -> None:
+        while i < end:
+            if not self.is_name(i) or self.val(i - 1) in (".", "?."):
+                i += 1
+                continue
+            first, chain = i, [self.val(i)]
+            while self.val(i + 1) in (".", "?.") and self.is_name(i + 2):
+                chain.append(self.val(i + 2))
+                i += 2
+            i += 1
+            if self.val(i) == "?." and self.val(i + 1) == "(":
+                i += 1
+            if self.val(i) != "(" or self.val(first - 1) in ("new", "function") or (len(chain) == 1 and chain[0] in _NO_CALL):
+                continue
+            if self.val(first - 1) in ("{", ",", "async", "get", "set", "*") and self.val(self.past(i)) == "{":
+                continue  # a method of an object
+            self.out.edge(owner, ".".join(chain), "CALLS")
+
+    def callable_(self, kind: str, name: str, parent: str, first: int, head: int, relation: str, end: int) -> int:
+        """A function whose type parameters or parameters start at head; after its body."""
+        if self.val(head) == "<":
+            head = self.past_angles(head)
+        if self.val(head) != "(" or head not in self.t.pair:
+            return head
+        i = close = self.past(head)
+        if self.val(i) == ":":
+            i = close = self.past_type(i + 1, frozenset(("{", ";", ",", "=")))
+        if self.val(i) == "{" and i in self.t.pair:
+            i = self.past(i)
+        elif self.val(i) == ";":
+            i += 1
+        signature = name + re.sub(r"\s+", " ", self.text[self.t.start[head] : self.t.end[close - 1]]).strip()
+        self.calls(self.add(kind, name, parent, first, i, signature, relation), close, i)
+        return i
+
+    def arrow(self, i: int) -> tuple[int, int] | None:
+        """(first token of the parameters, token of the arrow) if a function with an arrow starts at i."""
+        if self.val(i) == "async" and not self.new_line(i + 1) and self.val(i + 1) != "=>":
+            i += 1
+        head = self.past_angles(i) if self.val(i) == "<" else i
+        if self.is_name(head) and self.val(head + 1) == "=>":
+            return head, head + 1
+        if self.val(head) != "(" or head not in self.t.pair:
+            return None
+        at = self.past(head)
+        if self.val(at) == ":":
+            at = self.past_type(at + 1, frozenset(("=>", ";", ",", "=")))
+        return (head, at) if self.val(at) == "=>" else None
+
+    # ------------------------------------------------------------ statements
 
     def read(self) -> Parsed:
-        out, masked = self.out, self.masked
-        top = out.file(self.text)
-        depths, at = _depths(masked), 0
-        for m in _DECLARED.finditer(masked):
-            while at + 1 < len(depths) and depths[at + 1][0] <= m.start():
-                at += 1
-            if depths[at][1] != 0:
-                continue
-            name = next(m.group(k) for k in ("cls", "fn", "var", "iface", "alias") if m.group(k))
-            place = m.start() + len(m.group()) - len(m.group().lstrip())
-            if m.group("cls"):
-                self.class_(name, place, m.end())
-            elif m.group("fn"):
-                self.callable_("FUNCTION", name, top, place, masked.find("(", m.end()), "DEFINES", len(masked))
-            elif m.group("var"):
-                value = re.compile(r"[^=;\n]*=\s*(?:async\b\s*)?(?:function\b[^(]*)?(?:<[^>(]*>)?\s*\(").match(masked, m.end())
-                close = self.pairs.get(value.end() - 1) if value else None
-                arrow = close is not None and re.compile(r"\s*(?::[^={};]*(?:\{[^}]*\})?[^={};]*)?=>|\s*\{").match(masked, close + 1)
-                if arrow:
-                    self.callable_("FUNCTION", name, top, place, value.end() - 1, "DEFINES", len(masked))
-                else:
-                    self.add("VARIABLE", name, top, place, self._line_end(m.end()), None, "DEFINES")
+        top = self.out.file(self.text)
+        i = 0
+        while i < self.size:
+            i = max(i + 1, self.statement(i, self.size, top))
+        if not self.t.sound:
+            self.out.error = "unbalanced brackets"
+        return self.out
+
+    def statement(self, first: int, end: int, top: str) -> int:
+        i = first
+        while self.val(i) == "@":  # decorators
+            i += 2
+            while self.val(i) == ".":
+                i += 2
+            i = self.past(i) if self.val(i) == "(" else i
+        exported = self.val(i) == "export"
+        i += exported
+        i += exported and self.val(i) == "default"
+        while self.val(i) in ("declare", "abstract") and self.is_name(i + 1):
+            i += 1
+        i += self.val(i) == "async" and self.val(i + 1) == "function"
+        word = self.val(i)
+        names: list[str] = []
+        if word == "import" and not exported and self.val(i + 1) not in ("(", "."):
+            return self.import_(i, end, top)
+        if word == "class":
+            name, after = self.class_(first, i + 1, end)
+            names.append(name)
+        elif word == "function":
+            i += 1 + (self.val(i + 1) == "*")
+            name = self.val(i) if self.is_name(i) else "default"
+            after = self.callable_("FUNCTION", name, top, first, i + self.is_name(i), "DEFINES", end)
+            names.append(name)
+        elif word in ("const", "let", "var") and self.val(i + 1) != "enum":
+            after = self.variables(first, i + 1, end, top, names)
+        elif word == "interface" and self.is_name(i + 1):
+            after = i + 2
+            while after < end and self.val(after) != "{":
+                after = self.past_angles(after) if self.val(after) == "<" else self.past(after)
+            after = self.past(after)
+            self.add("TYPE", self.val(i + 1), top, first, after, None, "DEFINES")
+            names.append(self.val(i + 1))
+        elif word == "type" and self.is_name(i + 1) and self.val(i + 2) in ("=", "<"):
+            after = self.past_angles(i + 2) if self.val(i + 2) == "<" else i + 2
+            after = self.past_type(after + 1, frozenset((";",)))
+            after += self.val(after) == ";"
+            self.add("TYPE", self.val(i + 1), top, first, after, None, "DEFINES")
+            names.append(self.val(i + 1))
+        else:
+            return self.past_statement(first, end)
+        if exported:
+            for name in names:
+                self.out.edge(top, f"{top}.{name}", "EXPORTS")
+        return after
+
+    def variables(self, first: int, i: int, end: int, top: str, names: list[str]) -> int:
+        """The variables of one declaration, those bound to functions as functions."""
+        while i < end:
+            name, begin = (self.val(i) if self.is_name(i) else None), i if names else first
+            i = self.past(i)
+            if self.val(i) in (":", "!"):
+                i = self.past_type(i + 1, frozenset(("=", ";", ",")))
+            bound = None
+            if self.val(i) == "=":
+                i += 1
+                bound = self.arrow(i)
+                if bound is None and self.val(i + (self.val(i) == "async")) == "function":
+                    i += 1 + (self.val(i) == "async")
+                    i += self.val(i) == "*"
+                    i += self.is_name(i)
+                    if name:
+                        i = self.callable_("FUNCTION", name, top, begin, i, "DEFINES", end)
+                        names.append(name)
+                        name = None
+            value = bound[1] + 1 if bound else i
+            i = value
+            while i < end and self.val(i) not in (",", ";") and not (i > value and self.val(i) in _STARTS and (self.new_line(i) or self.val(i - 1) == "}")):
+                if bound and i > value and self.new_line(i) and self.val(i - 1) == "}" and self.val(value) == "{":
+                    break
+                i = self.past(i)
+            if name and bound:
+                head = re.sub(r"\s+", " ", self.text[self.t.start[bound[0]] : self.t.end[bound[1] - 1]]).strip()
+                last = self.past(value) if self.val(value) == "{" else i
+                self.calls(self.add("FUNCTION", name, top, begin, last, f"{name}{head if head.startswith('(') else f'({head})'}", "DEFINES"), value, last)
+                names.append(name)
+            elif name:
+                self.add("VARIABLE", name, top, begin, i + (self.val(i) == ";"), None, "DEFINES")
+                names.append(name)
+            if self.val(i) != ",":
+                return i + (self.val(i) == ";")
+            i += 1
+        return end
+
+    def class_(self, first: int, i: int, end: int) -> tuple[str, int]:
+        named = self.is_name(i) and self.val(i) not in ("extends", "implements")
+        name = self.val(i) if named else "default"
+        i += named
+        base = None
+        while i < end and self.val(i) != "{":
+            if self.val(i) == "extends" and base is None and self.is_name(i + 1):
+                base = self.val(i + 1)
+                i += 2
+                while self.val(i) == "." and self.is_name(i + 1):
+                    base += "." + self.val(i + 1)
+                    i += 2
+                base = "" if self.val(i) == "(" else base  # made by a call
             else:
-                block = self.body(m.end(), len(masked))
-                self.add("TYPE", name, top, place, block[1] + 1 if block else self._line_end(m.end()), None, "DEFINES")
-            if m.group("export"):
-                out.edge(top, f"{top}.{name}", "EXPORTS")
-        self.imports(top)
-        if masked.count("{") != masked.count("}") or masked.count("(") != masked.count(")"):
-            out.error = "unbalanced brackets"
-        return out
-
-    def class_(self, name: str, at: int, after: int) -> None:
-        block = self.body(after, len(self.masked))
-        if block is None:
-            return
-        qualified = self.add("CLASS", name, self.out.path, at, block[1] + 1, None, "DEFINES")
-        base = re.search(r"\bextends\s+([\w$.]+)", self.masked[after : block[0]])
+                i = self.past_angles(i) if self.val(i) == "<" else self.past(i)
+        if i not in self.t.pair:
+            return name, i + 1
+        qualified = self.add("CLASS", name, self.out.path, first, self.past(i), None, "DEFINES")
         if base:
-            self.out.edge(qualified, base.group(1), "INHERITS")
-        inside = block[0] + 1
-        for m in _MEMBER.finditer(self.masked, block[0] + 1, block[1]):
-            if m.start() < inside or m.group("name") in _NO_CALL - {"delete", "import", "of", "in", "do"}:
-                continue
-            open_ = self.masked.find("(", m.end())
-            place = m.start() + len(m.group()) - len(m.group().lstrip())
-            if open_ < 0 or open_ not in self.pairs:
-                continue
-            body = self.body(self.pairs[open_] + 1, block[1])
-            if body is None and not re.compile(r"\s*(?::[^;{}\n]*)?;").match(self.masked, self.pairs[open_] + 1):
-                continue
-            self.callable_("METHOD", m.group("name"), qualified, place, open_, "CONTAINS", block[1])
-            inside = body[1] if body else self.pairs[open_]
+            self.out.edge(qualified, base, "INHERITS")
+        at, close = i + 1, self.t.pair[i]
+        while at < close:
+            at = max(at + 1, self.member(at, close, qualified))
+        return name, close + 1
 
-    def imports(self, top: str) -> None:
-        for m in re.finditer(r"""(?m)^[ \t]*import\s+(?:(?:type\s+)?([\w$*{},\s]+?)\s+from\s+)?['"]([^'"\n]+)['"]""", self.text):
-            if self.masked[m.start() : m.start() + 12].strip()[:6] != "import":
-                continue
-            what, source = m.group(1) or "", m.group(2)
+    def member(self, first: int, close: int, owner: str) -> int:
+        i = first
+        while self.val(i) == "@":
+            i += 2
+            i = self.past(i) if self.val(i) == "(" else i
+        while self.val(i) in _MODIFIERS and self.val(i + 1) not in ("(", "<", "=", ";", ":", "?", "!", "}"):
+            i += 1
+        i += self.val(i) == "*"
+        name = self.val(i).strip("'\"") if self.is_name(i) or (i < self.size and self.t.kind[i] == "str") else None
+        if name is None and self.val(i) != "[":
+            return self.past(first)
+        i = self.past(i)
+        i += self.val(i) == "?"
+        if self.val(i) in ("(", "<") and name:
+            return self.callable_("METHOD", name, owner, first, i, "CONTAINS", close)
+        while i < close and self.val(i) != ";" and not (self.new_line(i) and (self.is_name(i) or self.val(i) in ("@", "[", "*")) and self.val(i - 1) not in ("=", "=>", ":", "|", "&", "?", "+", "(", ",")):
+            i = self.past(i)
+        return i + (self.val(i) == ";")
+
+    def import_(self, i: int, end: int, top: str) -> int:
+        i += 1
+        named: list[str] = []
+        if self.val(i) == "type" and (self.val(i + 1) in ("{", "*") or (self.is_name(i + 1) and self.val(i + 1) != "from")):
+            i += 1
+        while i < end and self.t.kind[i] != "str":
+            if self.val(i) == "{":
+                for k in range(i + 1, self.t.pair.get(i, i)):
+                    word = self.val(k)
+                    if self.is_name(k) and self.val(k - 1) in ("{", ",", "type") and not (word == "type" and self.is_name(k + 1) and self.val(k + 1) != "as"):
+                        named.append(word)
+            elif self.is_name(i) and self.val(i - 1) in ("import", "type") and self.val(i) != "from":
+                named.append("default")
+            elif self.val(i) == ";" or self.val(i) == "=":
+                return self.past_statement(i, end)
+            i = self.past(i)
+        if i < end:
+            source = self.val(i)[1:-1]
             self.out.imports.append(source)
-            named = re.search(r"\{([^}]*)\}", what)
-            for part in (named.group(1).split(",") if named else []):
-                first = part.strip().removeprefix("type ").split(" as ")[0].strip()
-                if first:
-                    self.out.edge(top, f"{source}.{first}", "IMPORTS")
-            default = re.match(r"\s*([\w$]+)", what)
-            if default:
-                self.out.edge(top, f"{source}.default", "IMPORTS")
+            for name in named:
+                self.out.edge(top, f"{source}.{name}", "IMPORTS")
+        i += 1
+        return i + (self.val(i) == ";")
 
 
 def parse(path: str, text: str, language: str = "typescript") -> Parsed:

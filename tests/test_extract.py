@@ -99,3 +99,56 @@ def test_failures_become_rows(spark):
     got = {r["file_path"]: r for r in parse_files(spark.createDataFrame(rows, "file_path string, content string")).collect()}
     assert got["a.py"]["error"].startswith("SyntaxError") and got["b.rb"]["error"] and got["c.ts"]["error"] == "unreadable"
     assert got["d.py"]["error"] is None and len(got["d.py"]["nodes"]) == 1 and got["e.JS"]["error"]
+
+
+def symbols(text, path="m.ts"):
+    return [(n["type"], n["name"], n["signature"], n["start_line"], n["end_line"]) for n in parse_text(path, text).nodes[1:]]
+
+
+def test_script_declarations_that_lines_do_not_show():
+    assert symbols("const f = x => x + 1") == [("FUNCTION", "f", "f(x)", 1, 1)]
+    p = parse_text("m.ts", "export default class extends Q.R<T> {\n  run() { go(); }\n}")
+    assert [(n["type"], n["name"]) for n in p.nodes[1:]] == [("CLASS", "default"), ("METHOD", "run")]
+    assert edges(p, "INHERITS") == {("m.ts.default", "Q.R")} and edges(p, "EXPORTS") == {("m.ts", "m.ts.default")} and edges(p, "CALLS") == {("m.ts.default.run", "go")}
+    assert [s[:2] for s in symbols("function a() { b(); } function b() {} class C { m() {} n() {} } const d = 1, e = () => 2; type T = { a: { b: string } } | null")] == [
+        ("FUNCTION", "a"), ("FUNCTION", "b"), ("CLASS", "C"), ("METHOD", "m"), ("METHOD", "n"), ("VARIABLE", "d"), ("FUNCTION", "e"), ("TYPE", "T"),
+    ]
+    assert symbols("export default function () { return 1 }") == [("FUNCTION", "default", "default()", 1, 1)]
+
+
+def test_script_nesting_strings_and_types():
+    text = """
+function outer(a: { x: number } = {x: 1}, re = /[}/]{2}/g): Promise<{ y: string }> {
+  function inner() { return `}${ {a: "`}"} }`; }
+  const o = { method() { deep(); }, get g() { return 1 } };
+  return a ? inner() : o?.method?.();
+}
+abstract class K<T extends { a: 1 }> extends mixin(Base) implements I<T> {
+  @deco({ a: 1 }) private readonly field: Map<string, number[]> = new Map();
+  handler = (e) => { this.on(e) }
+  static async *gen<T>(x: T): AsyncGenerator<T> { yield x }
+  abstract go(x: number): void;
+  get size() { return 1 }
+  'quoted name'() {}
+}
+const g = async <T,>(v: T): Promise<void> => { await outer(v) }
+const { a, b } = g, [c] = g;
+let late: (x: number) => void;
+interface I<T> extends J { (a: string): void; b(): void }
+"""
+    p = parse_text("m.ts", text)
+    got = [(n["type"], n["name"]) for n in p.nodes[1:]]
+    assert got == [
+        ("FUNCTION", "outer"), ("CLASS", "K"), ("METHOD", "gen"), ("METHOD", "go"), ("METHOD", "size"), ("METHOD", "quoted name"), ("FUNCTION", "g"), ("VARIABLE", "late"), ("TYPE", "I"),
+    ]
+    outer = next(n for n in p.nodes if n["name"] == "outer")
+    assert (outer["start_line"], outer["end_line"]) == (2, 6) and outer["signature"] == "outer(a: { x: number } = {x: 1}, re = /[}/]{2}/g): Promise<{ y: string }>"
+    assert edges(p, "CALLS") >= {("m.ts.outer", "inner"), ("m.ts.outer", "o.method"), ("m.ts.outer", "deep"), ("m.ts.g", "outer")} and ("m.ts.outer", "method") not in edges(p, "CALLS")
+    assert not edges(p, "INHERITS") and p.error is None
+    assert parse_text("m.js", "function f() {").error and parse_text("m.js", "").error is None
+
+
+def test_script_imports():
+    p = parse_text("m.ts", "import 'side';\nimport D, { a as b, type C } from \"x\"; import * as ns from './y'\nimport type { E } from 'z';\nconst lazy = import('w');\nconsole.log(import.meta.url)\n")
+    assert p.imports == ["side", "x", "./y", "z"]
+    assert edges(p, "IMPORTS") == {("m.ts", "x.default"), ("m.ts", "x.a"), ("m.ts", "x.C"), ("m.ts", "z.E")}
