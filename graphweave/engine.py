@@ -19,7 +19,7 @@ from graphweave.operators import build, diff, lookup, maintain, semantic, stats,
 from graphweave.render import count_tokens, render
 from graphweave.session import cut
 from graphweave.sources import repo
-from graphweave.store import Conflict, Store  # noqa: F401
+from graphweave.store import BUCKETS, Conflict, Store  # noqa: F401
 
 #: After so long a run that hasn't ended counts as dead.
 STUCK_SECONDS = 300
@@ -44,9 +44,10 @@ def _now() -> dt.datetime:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, store: str, repo_path: str | None = None):
+    def __init__(self, spark: SparkSession, store: str, repo_path: str | None = None, buckets: int = BUCKETS):
+        """buckets: of each table of a new store; the more, the less a small change rewrites. A store must always be opened with the same number."""
         self.spark, self.store, self.repo_path = spark, store.rstrip("/"), repo_path
-        self.tables = Store(spark, self.store)
+        self.tables = Store(spark, self.store, buckets)
 
     def table(self, name: str) -> DataFrame:
         return self.runs() if name == "index_runs" else self.tables.table(name)
@@ -153,6 +154,8 @@ class Engine:
         gone = cut(gone.select("path"))
         todo = cut(maintain.expand_dirty(dirty.unionByName(gone), old["file_deps"]).join(gone, "path", "left_anti"))
         touched = cut(todo.unionByName(gone).distinct())
+        if self.tables.has("file_hashes") and touched.isEmpty() and scanned.join(old["file_hashes"].select("path"), "path", "left_anti").isEmpty():
+            return {"files_indexed": 0, "files_skipped": files.count(), "nodes_created": 0, "edges_created": 0}
         parsed = cut(parse_files(files.join(todo.withColumnRenamed("path", "file_path"), "file_path", "left_semi")))
         files_touched = touched.withColumnRenamed("path", "file_path")
         now = F.current_timestamp().cast("timestamp_ntz")

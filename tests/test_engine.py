@@ -26,7 +26,7 @@ def graph(e):
 def test_index_twice_incremental_equals_full_and_deletion(spark, tmp_path):
     root = tmp_path / "repo"
     write(root, {"p/a.py": A, "p/b.py": B, "p/x.min.js": "x", "node_modules/m.js": "function f() {}", ".hid/h.py": "x = 1", "p/big.py": b"#" * (513 * 1024), "p/C.PY": "z = 1\n", "p/bad.py": b"\xff\xfe"})
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), buckets=8)
     run = e.index(str(root))
     assert run["files_scanned"] == 4 and run["status"] == "COMPLETED" and run["run_type"] == "FULL"
     names = {os.path.basename(r["file_path"]) for r in e.table("nodes").collect()}
@@ -38,7 +38,7 @@ def test_index_twice_incremental_equals_full_and_deletion(spark, tmp_path):
     assert again["files_indexed"] == 0 and graph(e) == before
     write(root, {"p/b.py": B + "\n\ndef more():\n    return helper(1)\n"})
     assert e.index(str(root))["files_indexed"] == 2  # the file and its importer
-    fresh = Engine(spark, str(tmp_path / "other"))
+    fresh = Engine(spark, str(tmp_path / "other"), buckets=8)
     fresh.index(str(root))
     assert graph(e) == graph(fresh)
     ids = {n[0] for n in graph(e)[0]}
@@ -67,7 +67,7 @@ def test_index_twice_incremental_equals_full_and_deletion(spark, tmp_path):
 def test_a_saved_file_reads_itself_and_its_importers_only(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     write(root, {"p/a.py": A, "p/b.py": B, "p/other.py": "def lone():\n    pass\n", "p/c%20d.py": "def odd():\n    pass\n"})
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), buckets=8)
     e.index(str(root))
     assert e.tables.table("nodes").where("file_path like '%c\\%20d.py'").count() == 2
     write(root, {"p/b.py": B + "\n\ndef more():\n    return helper(1)\n", "p/other.py": "def changed():\n    pass\n"})
@@ -86,7 +86,7 @@ def test_a_saved_file_reads_itself_and_its_importers_only(spark, tmp_path, monke
     e.index_paths(str(root), [], [str(root / "p/b.py")])
     monkeypatch.undo()
     write(root, {"p/other.py": "def lone():\n    pass\n"})
-    fresh = Engine(spark, str(tmp_path / "other"))
+    fresh = Engine(spark, str(tmp_path / "other"), buckets=8)
     fresh.index(str(root))
     assert graph(e) == graph(fresh)
 
@@ -94,7 +94,7 @@ def test_a_saved_file_reads_itself_and_its_importers_only(spark, tmp_path, monke
 def test_readers_see_one_version_whole_and_runs_exclude_each_other(spark, tmp_path):
     root = tmp_path / "repo"
     write(root, {"a.py": A, "b.py": B})
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), buckets=8)
     e.index(str(root))
     old = e.tables.version()
     kept = e.tables.table("nodes", version=old)
@@ -126,7 +126,7 @@ def test_readers_see_one_version_whole_and_runs_exclude_each_other(spark, tmp_pa
 def test_listings_and_roots(spark, tmp_path, monkeypatch):
     root = tmp_path / "repo"
     write(root, {"a.py": A, "b.py": B, "x.go": "package x", ".env/y.go": "package y", "bin/z.go": "package z"})
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), buckets=8)
     assert e.status() is None and e.list_nodes() == [] and e.subgraph("a.py")["found"] is False
     e.index(str(root))
     nodes = e.list_nodes("function")
@@ -189,7 +189,7 @@ def test_stream_of_changes_keeps_the_graph_current(spark, tmp_path):
         rows(("modified", str(root / "z.py"), None, at(later))).write.mode("append").parquet(feed)
     events = spark.readStream.schema(changes.EVENT).option("maxFilesPerTrigger", 1).parquet(feed)
     bursts = changes.debounce_stream(changes.split_moves(events), late="1 second")
-    e = Engine(spark, str(tmp_path / "store"))
+    e = Engine(spark, str(tmp_path / "store"), buckets=8)
     query = changes.index_stream(changes.relevant(bursts, str(tmp_path)), changes.index_on_change(e, str(root)), str(tmp_path / "ck"))
     query.awaitTermination(120)
     assert [r["name"] for r in e.table("nodes").where("type = 'FUNCTION'").collect()] == ["one"]
