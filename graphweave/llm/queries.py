@@ -45,10 +45,13 @@ def p5_exact(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_recall(spark: SparkSession, root: str) -> DataFrame:
-    """Whether a forest of small leaves (many levels, whatever the table's size) finds nine tenths of what the exact search does."""
+    """Whether a forest of small leaves (many levels, whatever the table's size) finds nine tenths of what the exact search does.
+
+    It takes 2.5 leaves more a search (and 0.05 a level), as neighbours lie in several leaves of 60; p5_found's budget is for leaves of 4,000.
+    """
     vectors = table(spark, root, "node_embeddings").where("model = 'code-mini-384'")
     true = neighbours.search_exact(vectors, _asked(vectors), k=5).select(F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b")).distinct()
-    found = neighbours.nearest_pairs(vectors, k=5, leaf_rows=60).withColumn("hit", F.lit(1))
+    found = neighbours.nearest_pairs(vectors, k=5, leaf_rows=60, extra=2.5).withColumn("hit", F.lit(1))
     hits = true.join(found, ["node_a", "node_b"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("hits"))
     return hits.select((F.col("hits") >= 0.9 * F.col("n")).alias("enough"))
 
